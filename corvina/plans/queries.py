@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from corvina.operators import nested
+from corvina.plans import serving
 
 QUERIES = {
+    **serving.QUERIES,
     "p2_found": nested.p2_found,
     "p2_titles": nested.p2_titles,
     "p2_names": nested.p2_names,
@@ -13,4 +15,4 @@ QUERIES = {
     "p2_locations": nested.p2_locations,
     "p2_location_sources": nested.p2_location_sources,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**serving.SQL}
