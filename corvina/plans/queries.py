@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from corvina.operators import nested
-from corvina.plans import resolving, serving
+from corvina.plans import reading, resolving, serving
 
 QUERIES = {
     **serving.QUERIES,
     **resolving.QUERIES,
+    **reading.QUERIES,
     "p2_found": nested.p2_found,
     "p2_titles": nested.p2_titles,
     "p2_names": nested.p2_names,
@@ -16,4 +17,4 @@ QUERIES = {
     "p2_locations": nested.p2_locations,
     "p2_location_sources": nested.p2_location_sources,
 }
-SQL: dict[str, str] = {**serving.SQL, **resolving.SQL}
+SQL: dict[str, str] = {**serving.SQL, **resolving.SQL, **reading.SQL}

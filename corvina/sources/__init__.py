@@ -1 +1 @@
-"""Part of the corvina engine."""
+"""Sources and sinks: paged extraction, staging, raw payload store, CSV, dumps, run log."""
