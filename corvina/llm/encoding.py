@@ -185,7 +185,7 @@ class Repairer:
                             d = raw.decode("utf-8")
                         except UnicodeDecodeError:
                             d = ""
-                        if d and (d in self.known or d.isalpha() and d < "ɐ"):
+                        if d and (d in self.known or d < "ɐ"):
                             out.append(d)
                             i += size
                             hits += 1
