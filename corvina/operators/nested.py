@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.session import table
+from corvina.session import spread, table
 
 TITLE = "static_data.summary.titles.title"
 NAME = "static_data.summary.names.name"
@@ -112,7 +112,7 @@ def triples(
                 yield pd.DataFrame(rows, columns=names)
 
     src = df.select(F.col(rid).cast("bigint").alias("rid"), F.col(payload).alias("payload")).where("rid is not null and payload is not null")
-    return src.mapInPandas(run, TRIPLES)
+    return spread(src).mapInPandas(run, TRIPLES)
 
 
 def pivot_group(t: DataFrame, grp: str, columns: dict[str, str]) -> DataFrame:

@@ -14,6 +14,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for costly Python steps over few files.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     sc = spark.sparkContext
