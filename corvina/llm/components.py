@@ -79,7 +79,6 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
         hooked = labels.join(best, "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("cand", "label")).alias("label")
         )
-        hooked = cut(hooked)
         parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = cut(
             hooked.join(parent, "label", "left").select(
@@ -87,7 +86,6 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
             )
         )
         changed = jumped.where("old <> label").limit(1).count()
-        cut.drop(hooked)
         cut.drop(labels)
         labels = jumped.select("node", "label")
         cut.paths[id(labels)] = cut.paths.pop(id(jumped))

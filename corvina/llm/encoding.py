@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.session import table
+from corvina.session import spread, table
 
 #: Power of the joint probability, and the score under which a pair is improbable.
 POWER, IMPROBABLE = 3.0, -4.0
@@ -309,7 +309,7 @@ def find_garbled(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
                     out.append((i, not lost, ", ".join(sorted(set(used))) or None, new))
             yield pd.DataFrame(out, columns=["doc_id", "restorable", "mapping", "text"])
 
-    return d.where(~F.col("text").rlike(r"^\p{ASCII}*$")).mapInPandas(run, RESULT)
+    return spread(d.where(~F.col("text").rlike(r"^\p{ASCII}*$"))).mapInPandas(run, RESULT)
 
 
 def p10_restored(spark: SparkSession, base: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.session import table
+from corvina.session import spread, table
 
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZER_DIR = os.environ.get("CORVINA_TOKENIZERS", "/opt/tokenizers")
@@ -133,7 +133,7 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [coder.encode(t) for t in pdf["text"]]})
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>")
+    return spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInPandas(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keys: list[str], text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -147,7 +147,7 @@ def count_tokens(df: DataFrame, keys: list[str], text: str = "text", folder: str
             out["tokens"] = [len(coder.encode(t)) for t in pdf["__text"]]
             yield out
 
-    return df.select(*keys, F.col(text).cast("string").alias("__text")).mapInPandas(run, schema)
+    return spread(df.select(*keys, F.col(text).cast("string").alias("__text"))).mapInPandas(run, schema)
 
 
 def decode_ids(ids: list[int], coder: TreeEncoder) -> str:
