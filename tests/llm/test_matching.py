@@ -29,13 +29,13 @@ def test_weighted_prefix_join_against_brute_force(spark):
     from collections import Counter
 
     rnd = random.Random(6)
-    items = [(i, "k", sorted({rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 6))})) for i in range(50)]
+    items = [(i, ["k", "k", "l"], sorted({rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 6))})) for i in range(50)]
     n = Counter(g for _, _, gs in items for g in gs)
     w = {g: math.log1p(len(items) / c) for g, c in n.items()}
     norm = lambda gs: math.sqrt(sum(w[g] ** 2 for g in gs))
     for t in (0.4, 0.7):
         want = {(i, j) for i, _, a in items for j, _, b in items if i < j and sum(w[g] ** 2 for g in set(a) & set(b)) / norm(a) / norm(b) >= t}
-        got = {(r.a, r.b) for r in AD.weighted_prefix_join(spark.createDataFrame(items, "id bigint, k string, grams array<string>"), "k", t).collect()}
+        got = {(r.a, r.b) for r in AD.weighted_prefix_join(spark.createDataFrame(items, "id bigint, blocks array<string>, grams array<string>"), t).collect()}
         assert got == want
 
 
