@@ -266,7 +266,7 @@ def e5(spark, d):
     return R.dissolved(m, R.claims(m))
 
 
-@query("E6_dirty_universe")
+@query("E6_dirty_universe", f"WITH keys AS ({SQL['E1_confirmation_keys']}), dirty AS (SELECT id FROM source_publications WHERE keys_dirty) SELECT id FROM dirty UNION SELECT b.id FROM keys a JOIN keys b ON a.type = b.type AND a.value = b.value WHERE a.id IN (SELECT id FROM dirty)")
 def e6(spark, d):
     sp = T(spark, d, "source_publications")
     return R.dirty_universe(sp, R.confirmation_keys(sp))

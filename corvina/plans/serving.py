@@ -137,9 +137,9 @@ def p12_origin(spark, d):
         F.expr("case when bool_or(in_perimeter and is_corresponding) then 'own' when bool_or(is_corresponding) then 'other' when bool_or(in_perimeter) then 'partner' else 'none' end").alias("origin"))
 
 
-@query("P13_no_authorship", "SELECT id FROM source_publications p WHERE NOT EXISTS (SELECT 1 FROM source_authorships a WHERE a.source_publication_id = p.id)")
+@query("P13_no_authorship", "SELECT id FROM source_publications p WHERE NOT EXISTS (SELECT 1 FROM source_authorships a WHERE a.source_publication_id = p.id AND a.in_perimeter)")
 def p13_none(spark, d):
-    rows = T(spark, d, "source_authorships").select(F.col("source_publication_id").alias("id"))
+    rows = T(spark, d, "source_authorships").where("in_perimeter").select(F.col("source_publication_id").alias("id"))
     return P.fold(T(spark, d, "source_publications").select("id"), [P.has_row("any", rows, "id", False)])
 
 
@@ -319,9 +319,10 @@ def j15(spark, d):
     return T(spark, d, "source_publications").where("doi is not null").groupBy(F.split_part("doi", F.lit("/"), F.lit(1)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J16_tuple_in", "SELECT id FROM source_publications WHERE (source, source_id) IN (SELECT source, source_id FROM staging)")
+@query("J16_tuple_in", "SELECT id FROM source_publications WHERE (journal_id, pub_year) IN (SELECT journal_id, pub_year FROM source_publications WHERE is_retracted AND journal_id IS NOT NULL AND pub_year IS NOT NULL)")
 def j16(spark, d):
-    return T(spark, d, "source_publications").select("id", "source", "source_id").join(T(spark, d, "staging").select("source", "source_id").distinct(), ["source", "source_id"], "left_semi").select("id")
+    sp = T(spark, d, "source_publications").select("id", "journal_id", "pub_year", "is_retracted")
+    return sp.join(sp.where("is_retracted").select("journal_id", "pub_year").distinct(), ["journal_id", "pub_year"], "left_semi").select("id")
 
 
 @query("J18_overlap", """WITH p AS (SELECT DISTINCT a.person_id AS a, b.person_id AS b FROM source_authorships a JOIN source_authorships b ON a.source_publication_id = b.source_publication_id AND a.person_id < b.person_id)
@@ -392,14 +393,14 @@ def a9(spark, d):
 
 
 A10_SQL = """WITH l AS (SELECT DISTINCT s.source_publication_id AS p, a.countries FROM source_authorships s JOIN source_authorship_addresses x ON x.source_authorship_id = s.id JOIN addresses a ON a.id = x.address_id)
-SELECT c AS country, count(DISTINCT p) AS n FROM (SELECT p, unnest(countries) AS c FROM l) WHERE c <> 'FR' GROUP BY 1"""
+SELECT c AS country, count(DISTINCT p) AS n FROM (SELECT p, unnest(countries) AS c FROM l) WHERE c <> 'DE' GROUP BY 1"""
 
 
 @query("A10_collaborations", A10_SQL)
 def a10(spark, d):
     x = T(spark, d, "source_authorship_addresses").select(F.col("source_authorship_id").alias("sid"), F.col("address_id").alias("aid"))
     s = T(spark, d, "source_authorships").select(F.col("id").alias("sid"), F.col("source_publication_id").alias("p"))
-    a = T(spark, d, "addresses").where(F.size("countries") > 0).select(F.col("id").alias("aid"), F.explode("countries").alias("country")).where("country <> 'FR'")
+    a = T(spark, d, "addresses").where(F.size("countries") > 0).select(F.col("id").alias("aid"), F.explode("countries").alias("country")).where("country <> 'DE'")
     return x.join(a, "aid").join(s, "sid").groupBy("country").agg(F.count_distinct("p").alias("n"))
 
 
@@ -462,9 +463,9 @@ def a18(spark, d):
     return A.consensus(T(spark, d, "lineitem"), ["l_partkey"], "l_suppkey")
 
 
-@query("A19_having_groups", "SELECT name_form, count(DISTINCT person_id) AS persons FROM person_name_forms WHERE status <> 'rejected' GROUP BY 1 HAVING count(DISTINCT person_id) >= 2")
+@query("A19_having_groups", "SELECT name_form, count(*) AS links FROM person_name_forms WHERE status <> 'rejected' GROUP BY 1 HAVING count(*) >= 2")
 def a19(spark, d):
-    return T(spark, d, "person_name_forms").where("status <> 'rejected'").groupBy("name_form").agg(F.count_distinct("person_id").alias("persons")).where("persons >= 2")
+    return T(spark, d, "person_name_forms").where("status <> 'rejected'").groupBy("name_form").agg(F.count(F.lit(1)).alias("links")).where("links >= 2")
 
 
 @query("A20_rollup_journals", "SELECT j.id, j.publisher_id, count(p.id) AS n FROM journals j LEFT JOIN source_publications p ON p.journal_id = j.id GROUP BY 1, 2")
