@@ -274,7 +274,7 @@ class Repairer:
                         weak += q < math.log(8e-4)
             if not changed or old_mass / pairs > rare or weak > 0.34 * pairs:
                 continue
-            if gain / changed >= 4.0 and gain >= 8.0 and gain > best[0]:
+            if gain / changed >= (4.0 if changed < 20 else 1.8) and gain >= 8.0 and gain > best[0]:
                 mapped = list(text)
                 for a, b in spans:
                     mapped[a:b] = [m.get(c, c) for c in text[a:b]]
