@@ -47,11 +47,11 @@ PARTICLES = {"de", "la", "le", "du", "des", "van", "von", "der", "den", "el", "a
 NO_NAME = {"", "et al", "anonymous", "anonyme", "unknown", "n a", "inconnu", "none", "null", "na"}
 
 
-def rewrite(name: str | None, given: frozenset[str]) -> tuple[str, str, str, str] | None:
-    """(kind, family, family with sorted tokens, given) of a normalised name, None if it names nobody.
+def rewrite(name: str | None, given: frozenset[str]) -> tuple[str, str, str, str, str] | None:
+    """(kind, family, family with sorted tokens, family with particles, given) of a normalised name, None if it names nobody.
 
-    kind is ``p`` or ``g`` (group). The family name is joined without blanks and particles; given is the
-    full given name, or the initials in upper case if no full one stands there.
+    kind is ``p`` or ``g`` (group). The family name is joined without blanks; given is the full given
+    name, or the initials in upper case if no full one stands there.
     """
     text = re.sub(r"[^a-z0-9]+", " ", (name or "").lower()).strip()
     if text in NO_NAME:
@@ -59,7 +59,7 @@ def rewrite(name: str | None, given: frozenset[str]) -> tuple[str, str, str, str
     tokens = text.split()
     if any(t in GROUPS for t in tokens):
         rest = [t for t in tokens if t not in GROUPS and t not in GROUP_JOINING]
-        return ("g", "".join(rest), "".join(sorted(rest)), "") if rest else None
+        return ("g", "".join(rest), "".join(sorted(rest)), "".join(rest), "") if rest else None
     tokens = [t for t in tokens if not t.isdigit() and (t not in TITLES or t == "m")] or tokens
     full, short, family = _sort_tokens(tokens, given)
     if (mended := mend(" ".join(tokens))) != " ".join(tokens):
@@ -72,10 +72,11 @@ def rewrite(name: str | None, given: frozenset[str]) -> tuple[str, str, str, str
         family, full = [full[-1]], full[:-1]
     if not full and not short:
         if len(family) < 2:
-            return "p", "".join(family), "".join(family), ""
+            return "p", "".join(family), "".join(family), "".join(family), ""
         full, family = [family[0]], family[1:]
     first = "".join(full) if full else "".join(short).upper()
-    return "p", sounds("".join(family)), sounds("".join(mend(" ".join(sorted(family))).split())), first
+    glued = [t for t in tokens if t in family or (t in PARTICLES and len(t) > 1)] if all(t in tokens for t in family) else family
+    return "p", sounds("".join(family)), sounds("".join(mend(" ".join(sorted(family))).split())), sounds("".join(glued)), first
 
 
 def mend(text: str) -> str:
@@ -111,6 +112,12 @@ def _sort_tokens(tokens: list[str], given: frozenset[str]) -> tuple[list[str], l
                 full.append(min(near))
                 other = other[:k] + other[k + 1 :]
                 break
+    if len(full) == 1 and len(other) > 1:  # the second part of a double given name, mistyped
+        for k, t in enumerate(other):
+            if len(t) >= 5 and (near := [g for g in given if len(g) >= 5 and abs(len(g) - len(t)) <= 1 and _osa(t, g, 1) <= 1]):
+                full = full + [min(near)] if tokens.index(t) > 0 else [min(near)] + full
+                other = other[:k] + other[k + 1 :]
+                break
     if not full and len(other) > 1:  # a double given name written as one
         for k, t in enumerate(other):
             if any(t == a + b for a in given for b in (t[len(a) :],) if t.startswith(a) and b in given):
@@ -167,39 +174,39 @@ def person_classes(spark: SparkSession, keys: DataFrame, forms: DataFrame | None
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [(x, *r) for x in pdf["name"] if (r := rewrite(x, given))]
-            yield pd.DataFrame(got, columns=["name", "kind", "family", "family2", "first"])
+            yield pd.DataFrame(got, columns=["name", "kind", "family", "family2", "family3", "first"])
 
     core_key = F.xxhash64("kind", "family2", "first")
-    parsed = cut(distinct.mapInPandas(parse, "name string, kind string, family string, family2 string, first string").where("family <> ''").withColumn("core", core_key))
-    cores = cut(parsed.groupBy("core").agg(F.first("kind").alias("kind"), F.min("family").alias("family"), F.min("family2").alias("family2"), F.first("first").alias("first")))
+    parsed = cut(distinct.mapInPandas(parse, "name string, kind string, family string, family2 string, family3 string, first string").where("family <> ''").withColumn("core", core_key))
+    cores = cut(parsed.groupBy("core").agg(F.first("kind").alias("kind"), F.min("family").alias("family"), F.min("family2").alias("family2"), F.min("family3").alias("family3"), F.first("first").alias("first")))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for c, kind, f, f2, first in pdf.itertuples(index=False):
-                for form in {f, f2} | one_less(f) | one_less(f2):
+            for c, kind, f, f2, f3, first in pdf.itertuples(index=False):
+                for form in {f, f2, f3} | one_less(f) | one_less(f2):
                     out.append((c, f"{kind}|{form}|{first[:1].lower()}"))
             yield pd.DataFrame(out, columns=["core", "form"])
 
-    shapes = cut(cores.select("core", "kind", "family", "family2", "first").mapInPandas(explode, "core bigint, form string"))
+    shapes = cut(cores.select("core", "kind", "family", "family2", "family3", "first").mapInPandas(explode, "core bigint, form string"))
     rarity = shapes.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = shapes.join(rarity, "form")
     met = (
         live.select(F.col("core").alias("a"), "form", "n").join(live.select(F.col("core").alias("b"), "form"), "form").where("a < b")
         .groupBy("a", "b").agg(F.max(1 / F.col("n")).alias("rarity"))
     )
-    side = lambda x: cores.select(F.col("core").alias(x), F.col("family").alias(f"f{x}"), F.col("family2").alias(f"g{x}"), F.col("first").alias(f"h{x}"))
+    side = lambda x: cores.select(F.col("core").alias(x), F.col("family").alias(f"f{x}"), F.col("family2").alias(f"g{x}"), F.col("family3").alias(f"k{x}"), F.col("first").alias(f"h{x}"))
 
     @F.pandas_udf("int")
-    def verify(fa: pd.Series, ga: pd.Series, ha: pd.Series, fb: pd.Series, gb: pd.Series, hb: pd.Series) -> pd.Series:
-        def one(fa, ga, ha, fb, gb, hb):
+    def verify(fa: pd.Series, ga: pd.Series, ka: pd.Series, ha: pd.Series, fb: pd.Series, gb: pd.Series, kb: pd.Series, hb: pd.Series) -> pd.Series:
+        def one(fa, ga, ka, ha, fb, gb, kb, hb):
             if not _first_compatible(ha, hb):
                 return -1
-            return 0 if fa == fb or ga == gb else 1 if min(_osa(fa, fb, 1), _osa(ga, gb, 1)) <= 1 else -1
+            return 0 if fa == fb or ga == gb or ka == kb else 1 if min(_osa(fa, fb, 1), _osa(ga, gb, 1)) <= 1 else -1
 
-        return pd.Series([one(*x) for x in zip(fa, ga, ha, fb, gb, hb)], dtype="int32")
+        return pd.Series([one(*x) for x in zip(fa, ga, ka, ha, fb, gb, kb, hb)], dtype="int32")
 
-    pairs = cut(met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", verify("fa", "ga", "ha", "fb", "gb", "hb")).where("edits >= 0").select("a", "b", "ha", "hb", "edits", "rarity"))
+    pairs = cut(met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", verify("fa", "ga", "ka", "ha", "fb", "gb", "kb", "hb")).where("edits >= 0").select("a", "b", "ha", "hb", "edits", "rarity"))
     initial = lambda c: (F.col(c) == F.upper(c)) & (F.col(c) != "")
     full = pairs.where(~initial("ha") & ~initial("hb")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     with_core = rows.join(parsed.select("name", "core"), "name")
