@@ -78,13 +78,33 @@ def dubious(authors: DataFrame, record: str, kind: str, value: str) -> DataFrame
 
 
 def duplicate_persons(names: DataFrame, ident: str, name: str) -> DataFrame:
-    """(id_a, id_b) with compatible names; blocked on the rarest token they can share (words of three letters or more)."""
+    """(id_a, id_b) with compatible names that share a word (two letters or more), whatever its frequency.
+
+    Each token of the smaller name fits one of the larger, so the two meet by equality on a shared word and the
+    first letter of one more token: the smaller gives one such token a word, the larger all of its tokens. Names
+    are distinct before they meet and a hot word is cut by the letters beside it; AQE splits what stays skewed.
+    """
     d = names.select(F.col(ident).alias("i"), F.col(name).alias("n")).where("n is not null").distinct()
-    t = d.select("i", "n", F.explode(F.array_distinct(F.filter(F.split("n", " "), lambda w: F.length(w) >= 3))).alias("w"))
-    df = t.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    rare = t.join(df, "w").groupBy("i", "n").agg(F.min(F.struct("c", "w")).alias("m")).select("i", "n", F.col("m.w").alias("w"))
-    a, b = rare.toDF("id_a", "na", "w"), rare.toDF("id_b", "nb", "w")
-    return a.join(b, "w").where("id_a < id_b").where(compatible(F.split("na", " "), F.split("nb", " "))).select("id_a", "id_b").distinct()
+    t = d.select("n").distinct().withColumn("t", F.filter(F.split("n", " "), lambda w: w != ""))
+    t = t.select("n", F.size("t").alias("z"), "t", F.posexplode("t").alias("p", "w")).where(F.length("w") >= 2)
+    other = F.filter("t", lambda w, i: i != F.col("p"))
+    small = t.select(F.col("n").alias("na"), F.col("z").alias("za"), "w", F.substring(F.coalesce(F.get(other, 0), F.lit("")), 1, 1).alias("l")).distinct()
+    letters = F.array_distinct(F.array_append(F.transform("t", lambda w: F.substring(w, 1, 1)), F.lit("")))
+    large = t.select(F.col("n").alias("nb"), F.col("z").alias("zb"), "w", F.explode(letters).alias("l")).distinct()
+    met = small.join(large, ["w", "l"]).where("za <= zb")
+    met = met.where(compatible(F.split("na", " "), F.split("nb", " "))).select("na", "nb").distinct()
+    pairs = met.join(d.toDF("ia", "na"), "na").join(d.toDF("ib", "nb"), "nb").where("ia <> ib")
+    return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def rank_duplicates(pairs: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """(id_a, id_b, one count a dimension) of what both persons of a pair are linked to; ``links``: (person_id, value)."""
+    for dim, v in links.items():
+        v = v.select("person_id", "value").where("person_id is not null and value is not null").distinct()
+        a, b = v.toDF("id_a", "value"), v.toDF("id_b", "value")
+        n = pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "value"]).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias(dim))
+        pairs = pairs.join(n, ["id_a", "id_b"], "left").withColumn(dim, F.coalesce(dim, F.lit(0)))
+    return pairs
 
 
 def intruders(sigs: DataFrame, person: str, name: str) -> DataFrame:

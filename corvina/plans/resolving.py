@@ -483,6 +483,20 @@ def e35(spark, d):
     return PE.duplicate_persons(T(spark, d, "person_name_forms").where("person_id is not null"), "person_id", "name_form")
 
 
+@query("E35_ranked_duplicates")
+def e35b(spark, d):
+    """Pairs with the network they share; order by coauthors + shared_pubs, then journals, all descending."""
+    s = _signatures(spark, d).where("person_id is not null and publication_id is not null").select("person_id", "publication_id").distinct()
+    other = s.select("publication_id", F.col("person_id").alias("value"))
+    journals = T(spark, d, "source_publications").select("publication_id", F.col("journal_id").alias("value"))
+    links = {
+        "coauthors": s.join(other, "publication_id").where("person_id <> value"),
+        "shared_pubs": s.withColumnRenamed("publication_id", "value"),
+        "journals": s.join(journals, "publication_id"),
+    }
+    return PE.rank_duplicates(e35(spark, d), links)
+
+
 @query("E36_intruders")
 def e36(spark, d):
     return PE.intruders(_signatures(spark, d), "person_id", "name")

@@ -118,6 +118,26 @@ def test_persons(spark):
     assert rows(PE.cascade([a, b], "sig")) == [(1, 7, "orcid"), (2, 8, "name_form")]
 
 
+def test_duplicate_persons_meet_on_any_shared_word(spark):
+    names = ["michel dupont", "m dupont", "dupont michel", "dupont m j", "li w", "wei li", "dupont d", "dupont", "anne dupont", "michel durand", "michel  rare", "m rare", "x", "martin martin", "martin", "m martin", "m dupont"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(99, None)], "id bigint, n string")
+
+    def fits(a, b):
+        return a == b or (len(a) == 1 and b.startswith(a)) or (len(b) == 1 and a.startswith(b))
+
+    def brute(a, b):
+        s, l = sorted((a.split(" "), b.split(" ")), key=len)
+        shared = {w for w in s if len(w) >= 2} & set(l)
+        same = len(s) == len(l) and all(any(fits(u, v) for v in s) for u in l)
+        return bool(shared) and (all(any(fits(u, v) for v in l) for u in s) or same)
+
+    want = [(i, j) for j in range(len(names)) for i in range(j) if brute(names[i], names[j])]
+    assert rows(PE.duplicate_persons(df, "id", "n")) == sorted(want, key=repr)
+    links = spark.createDataFrame([(0, 5), (1, 5), (1, 6), (0, 7), (2, 7)], "person_id bigint, value bigint")
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "id_a bigint, id_b bigint")
+    assert rows(PE.rank_duplicates(pairs, {"shared_pubs": links})) == [(0, 1, 1), (1, 2, 0)]
+
+
 def test_joins(spark):
     df = spark.createDataFrame([("10.1/ab", ), ("10.1/x",), ("9",), (None,)], "t string")
     p = spark.createDataFrame([("10.1/", 1), ("10.1/a", 2), ("10.1/x", 3), ("10.1/x", 4)], "p string, j int")
