@@ -1,7 +1,7 @@
 """Dictionary matching of texts: n-gram equi-joins instead of a nested loop of LIKE.
 
 Texts are normalised ([a-z0-9 ]); a whole-word form of n words can only be one of the text's n-grams, so
-both sides meet by equality. Forms that may stand within a word are met by letter n-grams of their length.
+both sides meet by equality. Forms that may stand within a word are met by letter n-grams (``matched_forms``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from corvina.operators.aggregates import modes
 
 #: Forms of up to this many letters must be whole words.
 SHORT = 6
+#: Letters of the window of a form that a text must hold before the form is looked for in it.
+GRAM = 8
 
 
 def word_ngrams(c: Column, n: Column | int) -> Column:
@@ -31,6 +33,27 @@ def contained(texts: DataFrame, tid: str, text: str, forms: DataFrame, fid: str,
     return grams.join(f, "__g").select(tid, fid).distinct()
 
 
+def matched_forms(texts: DataFrame, tid: str, text: str, forms: DataFrame, fid: str, form: str, boundary: str) -> DataFrame:
+    """(tid, fid) of every form a text holds; a form with ``boundary`` true must stand there as whole words.
+
+    Forms without it are met by runs of letters: of a form's windows of ``GRAM`` letters (the whole form, if
+    shorter) the one that the fewest texts hold is its key, then the whole form is looked for. Texts are
+    distinct before they meet.
+    """
+    f = forms.where(F.col(form).isNotNull() & (F.col(form) != ""))
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+    free = f.where(~F.coalesce(boundary, F.lit(False))).select(fid, F.col(form).alias("__f"), F.least(F.length(form), F.lit(GRAM)).alias("__n"))
+    lengths = free.agg(F.collect_set("__n").alias("__l"))  # at most GRAM numbers, one row
+    t = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__t")).distinct().crossJoin(F.broadcast(lengths))
+    grams = t.select("__t", F.explode(F.array_distinct(F.flatten(F.transform("__l", lambda n: runs(F.col("__t"), n))))).alias("__g"))
+    windows = free.select("__f", F.explode(runs(F.col("__f"), F.col("__n"))).alias("__g")).distinct()
+    counts = grams.join(windows.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(F.count(F.lit(1)).alias("__c"))
+    rarest = windows.join(counts, "__g").groupBy("__f").agg(F.min_by("__g", F.struct("__c", "__g")).alias("__g"))
+    hit = grams.join(rarest, "__g").where(F.contains("__t", "__f")).select("__t", "__f").join(free.select("__f", fid), "__f")
+    within = texts.select(tid, F.col(text).alias("__t")).join(hit, "__t").select(tid, fid)
+    return contained(texts, tid, text, f.where(F.col(boundary)), fid, form).unionByName(within).distinct()
+
+
 def match_structures(matched: DataFrame, forms: DataFrame, tid: str) -> DataFrame:
     """(tid, structure_id, form_id): one row for each recognised structure, by its first form.
 

@@ -356,11 +356,22 @@ def e8(spark, d):
     return MA.contained(T(spark, d, "addresses"), "id", "normalized_text", f, "form_id", "form").join(f, "form_id").select("id", "form")
 
 
+def _matched(spark, d):
+    """Forms in addresses; short ones must be whole words."""
+    f = _forms(spark, d).withColumn("is_word_boundary", F.length("form") <= MA.SHORT)
+    return MA.matched_forms(T(spark, d, "addresses"), "id", "normalized_text", f, "form_id", "form", "is_word_boundary")
+
+
+@query("E8_matched_forms", f"WITH {FORM_SQL} SELECT a.id, f.form FROM addresses a JOIN f ON CASE WHEN length(f.form) <= 6 THEN contains(' ' || a.normalized_text || ' ', ' ' || f.form || ' ') ELSE contains(a.normalized_text, f.form) END")
+def e8c(spark, d):
+    return _matched(spark, d).join(_forms(spark, d), "form_id").select("id", "form")
+
+
 @query("E8_structures")
 def e8b(spark, d):
     f = _forms(spark, d)
     rules = f.select("form_id", (F.pmod("form_id", F.lit(50)) + 1).alias("structure_id"), (F.pmod("form_id", F.lit(17)) == 0).alias("is_excluding"), F.lit(None).cast("array<bigint>").alias("requires_context_of"), F.when(F.pmod("form_id", F.lit(11)) == 0, "site").otherwise("lab").alias("structure_type"))
-    return MA.match_structures(MA.contained(T(spark, d, "addresses"), "id", "normalized_text", f, "form_id", "form"), rules, "id")
+    return MA.match_structures(_matched(spark, d), rules, "id")
 
 
 @query("E9_detection_delta", """WITH o AS (SELECT DISTINCT address_id AS k, source_authorship_id % 2 = 0 AS c FROM source_authorship_addresses WHERE source_authorship_id < 400), ok AS (SELECT k, bool_or(c) AS is_confirmed FROM o GROUP BY 1), n AS (SELECT id AS k FROM addresses WHERE countries_dirty)

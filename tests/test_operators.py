@@ -110,6 +110,15 @@ def test_matching(spark):
     assert rows(MA.trailing(ends, "id", "t", names, "n", "c")) == [(1, "CI")]
 
 
+def test_forms_within_words(spark):
+    texts = ["univ clermont auvergne", "clermontauvergne", "polimos lab", "limos", None, "", "universites de lyon", "unilyon", "lyon", "polimos lab"]
+    forms = [("clermont", False), ("limos", True), ("clermont auvergne", False), ("", False), ("universite", None), ("lyon", False), ("lyon", True), (None, False)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    f = spark.createDataFrame([(i, *x) for i, x in enumerate(forms)], "f bigint, form string, b boolean")
+    want = [(i, j) for i, x in enumerate(texts) for j, (y, b) in enumerate(forms) if x and y and (f" {y} " in f" {x} " if b else y in x)]
+    assert rows(MA.matched_forms(t, "id", "t", f, "f", "form", "b")) == sorted(want, key=repr)
+
+
 def test_persons(spark):
     c = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (3, None)], "sig bigint, person_id bigint")
     a = PE.unique_person(c, "sig", "orcid")
