@@ -138,3 +138,22 @@ def test_survivors(spark):
     got = rows(SU.survivors(spark, spark.createDataFrame(data, s)).select("publication_id", "field", "sp_id"))
     assert got == [(7, "abstract", 2), (7, "oa_status", 3), (7, "title", 2)]
     assert rows(SU.survivors(spark, spark.createDataFrame([], s))) == []
+
+
+def test_equal_titles_are_scored_like_others(spark):
+    words = ["zai", "brou", "fle", "tro", "ka", "mi", "lo", "dra", "pou", "che"]
+    data, n = [], 0
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:5]):
+            t, y, doi, jo = f"Studies of the {a}{b}gu river in the {b}{a}po basin", 1990 + i, f"10.91000/{a}{b}.{i}{j}7731", i
+            data += [(n, "hal", doi, t, y, jo), (n + 1, "wos", doi, t + " abstract", y, jo)]
+            n += 2
+    generic = "Table of contents of the issue"
+    data += [(1000 + i, ("hal", "wos")[i % 2], f"10.9{i}123/issue.{i}{i}{i}{i}9{i}", generic, 1950 + 9 * i, 50 + i) for i in range(4)]
+    data += [(2000, "hal", None, generic, 1950, 50)]
+    df = spark.createDataFrame([(*r, None, "{}") for r in data], "id bigint, source string, doi string, title string, pub_year int, journal_id bigint, publication_id bigint, external_ids string")
+    groups = df.selectExpr("id as sp_id", "id as group_id")
+    work = {r.sp_id: r.work for r in LI.link_records(spark, df, groups)[0].collect()}
+    assert all(work[i] == work[i + 1] for i in range(0, n, 2))
+    assert len({work[1000 + i] for i in range(4)}) == 4
+    assert work[2000] == work[1000]
