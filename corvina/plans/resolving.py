@@ -381,6 +381,15 @@ def e9(spark, d):
     return MA.delta(o, T(spark, d, "addresses").where("countries_dirty").select(F.col("id").alias("k")), ["k"])
 
 
+@query("E9_detection_delta_all", """WITH ok AS (SELECT x.address_id AS k, bool_or(coalesce(s.in_perimeter, false)) AS is_confirmed FROM source_authorship_addresses x LEFT JOIN source_authorships s ON s.id = x.source_authorship_id GROUP BY 1), n AS (SELECT id AS k FROM addresses WHERE countries_dirty)
+SELECT coalesce(ok.k, n.k) AS k, CASE WHEN ok.k IS NULL THEN 'insert' WHEN n.k IS NOT NULL THEN 'keep' WHEN is_confirmed THEN 'unflag' ELSE 'delete' END AS action FROM ok FULL JOIN n ON ok.k = n.k""")
+def e9b(spark, d):
+    """The delta against all links; a detection is confirmed where a signature of it lies inside the perimeter."""
+    s = T(spark, d, "source_authorships").select(F.col("id").alias("source_authorship_id"), "in_perimeter")
+    o = T(spark, d, "source_authorship_addresses").join(s, "source_authorship_id", "left").groupBy(F.col("address_id").alias("k")).agg(F.bool_or(F.coalesce("in_perimeter", F.lit(False))).alias("is_confirmed"))
+    return MA.delta(o, T(spark, d, "addresses").where("countries_dirty").select(F.col("id").alias("k")), ["k"])
+
+
 COUNTRY = [("france", "FR"), ("fr", "FR"), ("germany", "DE"), ("spain", "ES"), ("cote d ivoire", "CI")]
 
 

@@ -119,6 +119,19 @@ def test_forms_within_words(spark):
     assert rows(MA.matched_forms(t, "id", "t", f, "f", "form", "b")) == sorted(want, key=repr)
 
 
+def test_delta_takes_all_links(spark, tmp_path):
+    from corvina.plans.resolving import QUERIES
+
+    tables = {
+        "source_authorship_addresses": spark.createDataFrame([(500, 1), (501, 2), (502, 3)], "source_authorship_id bigint, address_id bigint"),
+        "source_authorships": spark.createDataFrame([(500, True), (501, False), (502, None)], "id bigint, in_perimeter boolean"),
+        "addresses": spark.createDataFrame([(1, False), (2, False), (3, True), (4, True)], "id bigint, countries_dirty boolean"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(QUERIES["E9_detection_delta_all"](spark, str(tmp_path))) == [(1, "unflag"), (2, "delete"), (3, "keep"), (4, "insert")]
+
+
 def test_persons(spark):
     c = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (3, None)], "sig bigint, person_id bigint")
     a = PE.unique_person(c, "sig", "orcid")
