@@ -24,12 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder of its own.
+
+    A cluster without the setting raises, since its executors share no temporary folder.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = sc._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvina-"))
             current = sc._jsc.sc().getCheckpointDir()
         root = current.get()
@@ -48,14 +53,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Cut:
     """Written tables in the shared folder: a lineage cut that survives the loss of executors.
 
-    ``cut(df)`` writes ``df`` once and returns a scan of the result. ``drop(df)`` removes a table
-    that no later step reads; what is left goes when the driver ends.
+    ``cut(df)`` writes ``df`` once and returns a scan of the result. ``drop(df)`` removes a table that no
+    later step reads; ``keep(df)`` ends an operator: it writes the result and removes all its other
+    tables. What is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = scratch_root(spark)
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def __call__(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/corvina/{uuid.uuid4().hex}"
@@ -64,10 +70,21 @@ class Cut:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._cut_path = path
+        self.paths.add(path)
         atexit.register(_delete, self.spark, path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = getattr(df, "_cut_path", None)
+            if path in self.paths:
+                self.paths.discard(path)
+                _delete(self.spark, path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = self(df)
+        for path in self.paths - {out._cut_path}:
             _delete(self.spark, path)
+        self.paths = {out._cut_path}
+        return out
