@@ -55,17 +55,17 @@ def _repair_run(m: re.Match) -> str:
     return m.group()
 
 
+def mended_text(t: str) -> str:
+    """``t`` with UTF-8 that was read as a Western single-byte text put right where it decodes, also where that happened repeatedly."""
+    while not t.isascii() and (u := GARBLED.sub(_repair_run, t)) != t:
+        t = u
+    return t
+
+
 def repair(texts: pd.Series) -> pd.Series:
     """UTF-8 that was read as a Western single-byte text, wholly or in part, put right where it decodes."""
 
-    def one(t):
-        if not isinstance(t, str) or t.isascii():
-            return t
-        for _ in range(2):
-            t = GARBLED.sub(_repair_run, t)
-        return t
-
-    return texts.map(one)
+    return texts.map(lambda t: mended_text(t) if isinstance(t, str) else t)
 
 
 def repaired(c: Column) -> Column:

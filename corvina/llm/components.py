@@ -1,7 +1,8 @@
 """Problem 1: consolidating pairwise matches into groups.
 
-Minimum labels are propagated across edges and the label forest is shortened by pointer jumping;
-each round is written to the shared scratch folder and the loop ends when no label changes.
+Every identifier becomes star edges between the records that carry it; minimum labels are propagated
+across the edges and the label forest is shortened by pointer jumping (``operators.graph``), each round
+written to the shared scratch folder, until no label changes.
 """
 
 from __future__ import annotations
@@ -9,105 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.operators.graph import connected_components, lookup, star_edges
 from corvina.session import Cut, table
 
-#: Members of one key are hashed into this many sub-stars, so that a key held by a third of all rows
-#: puts at most rows / SALTS edges on one node.
-SALTS = 64
-
-
-def star_edges(tokens: DataFrame, node: str, key: str, salts: int = SALTS) -> DataFrame:
-    """Edges (src, dst) with dst < src that link all nodes of each key, in number linear in the rows.
-
-    Two levels: node -> smallest node of its (key, salt), and that one -> smallest node of its key.
-    Both minima are hash aggregates with map-side combine; no pair within a key is ever listed.
-    Rows with a null node or key give no edge.
-    """
-    t = tokens.select(F.col(node).alias("n"), F.col(key).alias("k")).where("n is not null and k is not null")
-    t = t.withColumn("s", F.pmod(F.xxhash64("n"), F.lit(salts)).cast("int"))
-    sub = t.groupBy("k", "s").agg(F.min("n").alias("m"), F.count(F.lit(1)).alias("c"))
-    top = sub.groupBy("k").agg(F.min("m").alias("r"), F.sum("c").alias("kc"))
-    low = (
-        t.join(sub.where("c > 1").select("k", "s", "m"), ["k", "s"])
-        .where("n > m")
-        .select(F.col("n").alias("src"), F.col("m").alias("dst"))
-    )
-    high = (
-        sub.join(top.where("kc > 1").select("k", "r"), "k")
-        .where("m > r")
-        .select(F.col("m").alias("src"), F.col("r").alias("dst"))
-    )
-    return low.unionByName(high).distinct()
-
-
-def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, label) for every node of ``edges``; label is the smallest node of its component.
-
-    Each round: every node takes the smallest label among itself and its neighbours (hooking, also
-    of the neighbour's root), then its label's label (pointer jumping), so that chains of length n
-    settle in about log n rounds. Self loops, repeated and null edges do no harm; an empty input
-    gives an empty result.
-    """
-    cut = Cut(spark)
-    e = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).where(
-        "u is not null and v is not null and u <> v"
-    )
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    # First hook: the smallest neighbour, straight from the edges.
-    labels = cut(
-        e.unionByName(e.select(F.col("v").alias("u"), F.col("v")))
-        .groupBy("u")
-        .agg(F.min("v").alias("label"))
-        .select(F.col("u").alias("node"), F.least("u", "label").alias("label"))
-    )
-    while True:
-        # Labels of both ends of each edge; the end with the larger label is hooked to the smaller.
-        lu = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
-        lv = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        ends = e.join(lu, "u").join(lv, "v").where("lu <> lv")
-        low = F.least("lu", "lv")
-        hooks = ends.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("u").alias("node"), low.alias("cand")),
-                    F.struct(F.col("v").alias("node"), low.alias("cand")),
-                    F.struct(F.greatest("lu", "lv").alias("node"), low.alias("cand")),
-                )
-            ).alias("h")
-        ).select("h.*")
-        best = hooks.groupBy("node").agg(F.min("cand").alias("cand"))
-        hooked = labels.join(best, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("cand", "label")).alias("label")
-        )
-        parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = cut(
-            hooked.join(parent, "label", "left").select(
-                "node", "old", F.least("label", F.coalesce("up", "label")).alias("label")
-            )
-        )
-        changed = jumped.where("old <> label").limit(1).count()
-        cut.drop(labels)
-        labels = jumped.select("node", "label")
-        cut.paths[id(labels)] = cut.paths.pop(id(jumped))
-        if not changed:
-            cut.drop(e)
-            return labels
+# --- identifiers -------------------------------------------------------------------------------
 
+# What stands for no identifier after a registrant.
+NO_SUFFIX = ("", "0", "unknown", "none", "null", "n/a", "na", "nan", "-", "xxx", "xxxx", "inconnu", "undefined", "test", "tbd", "tba")
 
-# --- identifiers -------------------------------------------------------------------------------
 
 def doi_key(c: Column) -> Column:
     """A DOI in one spelling, null if the value identifies nothing.
 
     Case, blanks, URL or ``doi:`` forms, percent-encoded slash, query strings and trailing
-    punctuation do not matter. The registrant must not be all zeros and the suffix must hold a digit.
+    punctuation do not matter. The registrant must not be all zeros, and the suffix must not be a word
+    that stands for none.
     """
     s = F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
     s = F.replace(s, F.lit("%2f"), F.lit("/"))
     s = F.regexp_replace(s, r"^.*?(?=10\.\d)", "")
     s = F.regexp_replace(s, r"[?#].*$", "")
     s = F.regexp_replace(s, r"[.,;/)\]]+$", "")
-    return F.when(s.rlike(r"^10\.(?!0+(/|$))\d{4,9}.*\d") & (F.length(s) > 12), s)
+    suffix = F.regexp_replace(s, r"^10\.\d{4,9}(?:\.\d+)*/*", "")
+    return F.when(s.rlike(r"^10\.(?!0+(/|$))\d{4}") & ~suffix.isin(*NO_SUFFIX), s)
 
 
 def external_tokens(c: Column) -> Column:
@@ -158,6 +83,6 @@ def p1_groups(spark: SparkSession, base: str) -> DataFrame:
     sp = table(spark, base, "source_publications")
     g = publication_groups(spark, sp)
     out = sp.select(F.col("id").alias("sp_id")).distinct().join(g, "sp_id", "left")
-    out = out.select("sp_id", F.coalesce("group_id", "sp_id").alias("group_id"))
+    out = Cut(spark)(out.select("sp_id", F.coalesce("group_id", "sp_id").alias("group_id")))
     sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return out.join(sizes, "group_id").select("sp_id", "group_id", "group_size")
+    return lookup(out, sizes, "group_id").select("sp_id", "group_id", "group_size")

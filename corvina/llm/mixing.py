@@ -70,7 +70,9 @@ def draw(spark: SparkSession, sized: DataFrame, rows: list[dict], seed: int = SE
 
     The fractional part takes documents in the order of a seeded hash until their tokens reach it, to
     the nearest document. Bucket sums find the one bucket in which a source's border lies, so only
-    1 / BUCKETS of a source is ordered in one task, however large the source.
+    1 / BUCKETS of a source is ordered in one task, however large the source. Documents of no token change
+    no share, so the fraction passes them by: no document is ever used more than ``whole`` + 1 times, and
+    never more than the source's cap allows.
     """
     names = [f.split()[0] for f in PLAN.split(", ")]
     p = F.broadcast(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], PLAN).select("source", "whole", "fraction"))  # one row a target
@@ -78,12 +80,12 @@ def draw(spark: SparkSession, sized: DataFrame, rows: list[dict], seed: int = SE
     sums = d.groupBy("source", "b").agg(F.sum("tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("source", "b", before.alias("before"), "n").join(p, "source")
-    state = F.when(F.col("before") + F.col("n") <= F.col("fraction"), 1).when(F.col("before") >= F.col("fraction"), 0).otherwise(2)
-    d = d.join(sums.select("source", "b", "before", state.alias("state")), ["source", "b"])
-    settled = d.where("state < 2").select("doc_id", "source", "tokens", (F.col("whole") + F.col("state")).alias("repeats"))
+    state = F.when(F.col("before") >= F.col("fraction"), 0).when(F.col("before") + F.col("n") <= F.col("fraction"), 1).otherwise(2)
+    d = d.join(F.broadcast(sums.select("source", "b", "before", state.alias("state"))), ["source", "b"])  # at most BUCKETS rows a target
+    settled = d.where("state < 2").select("doc_id", "source", "tokens", (F.col("whole") + F.col("state") * (F.col("tokens") > 0).cast("int")).alias("repeats"))
     run = F.sum("tokens").over(Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     border = d.where("state = 2").withColumn("run", F.col("before") + run)
-    inside = (F.col("run") - F.col("tokens") / 2 <= F.col("fraction")).cast("int")
+    inside = ((F.col("tokens") > 0) & (F.col("run") - F.col("tokens") / 2 <= F.col("fraction"))).cast("int")
     border = border.select("doc_id", "source", "tokens", (F.col("whole") + inside).alias("repeats"))
     return settled.unionByName(border).where("repeats > 0").withColumn("repeats", F.col("repeats").cast("int"))
 

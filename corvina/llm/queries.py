@@ -19,11 +19,14 @@ QUERIES = {
     "p7_found": addresses.p7_found,
     "p7_places": addresses.p7_places,
     "p8_ids": tokenize.p8_ids,
+    "p8_decoded": tokenize.p8_decoded,
     "p9_draws": mixing.p9_draws,
     "p9_shares": mixing.p9_shares,
     "p10_found": encoding.p10_found,
     "p10_restored": encoding.p10_restored,
 }
 
-#: The operators are iterative, statistical or run a tokenizer; they are tested against brute force instead.
-SQL: dict[str, str] = {}
+#: Most operators are iterative, statistical or run a tokenizer; they are tested against brute force instead.
+SQL: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

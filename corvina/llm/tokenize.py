@@ -9,6 +9,8 @@ tokens outside it provably cannot change:
   and one more than its end are known (contractions look two ahead, white space one).
 * So the left side keeps all tokens before its last settled border, and the right side keeps all
   tokens from the first border that the scan of the window shares with its own scan.
+* A single blank between something printed and a letter opens a piece in every scan, so a window from
+  such a blank on the left to one on the right needs no scan at all; texts without blanks take the other way.
 * Inside a piece the merges see no other text, so equal pieces have equal ids.
 """
 
@@ -31,8 +33,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for the scan of windows: white space is the Unicode property, as in the codec.
 SCAN = PIECES.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-#: Characters of a leaf of the tree, and of the first joining window.
-LEAF, WINDOW = 16_384, 64
+#: Characters of a leaf of the tree, and of the first joining window. Most texts are longer than a leaf.
+LEAF, WINDOW = 192, 32
 
 
 class TreeEncoder:
@@ -45,10 +47,12 @@ class TreeEncoder:
         with open(os.path.join(folder, vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.codec = tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = {i: b for b, i in ranks.items()}
         self.width = {i: len(b) for b, i in ranks.items()}
         self.pieces = regex.compile(SCAN)
         self.anchor = regex.compile(r"\P{White_Space} (?=\p{L})")
         self.leaf, self.window = leaf, window
+        self.joins = 0  # inner nodes of all trees so far
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of ``text`` without special tokens; an empty list for null and for empty texts."""
@@ -64,9 +68,15 @@ class TreeEncoder:
 
     def _join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Ids of text[a:b] from those of text[a:m] and text[m:b]."""
+        self.joins += 1
         w = self.window
         while True:
             lo, hi = max(a, m - w), min(b, m + w)
+            p, q = self._blank_before(text, lo, m), self._blank_after(text, m, hi)
+            if p is not None and q is not None:
+                head = self._cut(left, len(text[p:m].encode()), from_end=True)
+                tail = self._cut(right, len(text[m:q].encode()), from_end=False)
+                return left[:head] + self.codec.encode_ordinary(text[p:q]) + right[tail:]
             start = self._settled(text, a, lo, m)
             if start is not None:
                 stop = self._shared(text, start, m, hi, b)
@@ -80,6 +90,27 @@ class TreeEncoder:
                 return self.codec.encode_ordinary(text[a:b])
             w *= 2
 
+    @staticmethod
+    def _opens(text: str, i: int) -> bool:
+        """Whether the blank at ``i`` opens a piece; letters of old scripts only, whose class no Unicode version changes."""
+        return text[i + 1] < "\u0530" and text[i + 1].isalpha() and not text[i - 1].isspace()
+
+    def _blank_before(self, text: str, lo: int, m: int) -> int | None:
+        """The last blank of text[lo:m] that opens a piece whatever stands around text[lo:m]."""
+        i = m - 1
+        while (i := text.rfind(" ", lo + 1, i)) >= 0:
+            if self._opens(text, i):
+                return i
+        return None
+
+    def _blank_after(self, text: str, m: int, hi: int) -> int | None:
+        """The first such blank of text[m:hi]."""
+        i = m
+        while (i := text.find(" ", i + 1, hi - 1)) >= 0:
+            if self._opens(text, i):
+                return i
+        return None
+
     def _borders(self, text: str, a: int, b: int, known: int):
         """Ends of the pieces of text[a:b] that text after ``known`` cannot move, in order."""
         for p in self.pieces.finditer(text[a:b]):
@@ -151,9 +182,35 @@ def count_tokens(df: DataFrame, keys: list[str], text: str = "text", folder: str
 
 
 def decode_ids(ids: list[int], coder: TreeEncoder) -> str:
-    """The text of ``ids``: bytes are concatenated up the tree, then read as UTF-8."""
-    return coder.codec.decode_bytes(ids).decode("utf-8")
+    """The text of ``ids``: the bytes of the halves are joined up the tree, and read as UTF-8 at the root."""
+
+    def part(a: int, b: int) -> bytes:
+        if b - a <= coder.leaf:
+            return b"".join(coder.bytes_of[i] for i in ids[a:b])
+        m = (a + b) // 2
+        return part(a, m) + part(m, b)
+
+    return part(0, len(ids)).decode("utf-8")
+
+
+def decode_corpus(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of every row of (doc_id, ids); an empty text for an empty or null list. No shuffle.
+
+    Ids that aren't in the vocabulary raise KeyError, as do bytes that aren't UTF-8 a UnicodeDecodeError.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = TreeEncoder(folder, vocabulary)
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": ["" if x is None else decode_ids(list(x), coder) for x in pdf["ids"]]})
+
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInPandas(run, "doc_id bigint, text string")
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_corpus(table(spark, base, "documents"))
+
+
+def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, text): every document encoded up the tree and decoded up the tree again; null becomes an empty text."""
+    return decode_corpus(p8_ids(spark, base))
