@@ -32,7 +32,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def class_pairs(members: DataFrame, cls: str, node: str) -> DataFrame:
-    """(a, b) of all pairs of members of one class, a < b; a large class is split over many tasks.
+    """(c, a, b) of all pairs of members of one class c, a < b; a large class is split over many tasks.
 
     One side of a class of n members is hashed into n / BLOCK parts, the other is given to each part, so
     what is shuffled stays a BLOCK-th of the pairs that come out.
@@ -42,7 +42,7 @@ def class_pairs(members: DataFrame, cls: str, node: str) -> DataFrame:
     m = lookup(m, size, "c").where("size > 1").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
     a = m.select("c", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int").alias("s"), F.col("n").alias("a"))
     b = m.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.col("n").alias("b"))
-    return a.join(b, ["c", "s"]).where("a < b").select("a", "b")
+    return a.join(b, ["c", "s"]).where("a < b").select("c", "a", "b")
 
 
 def star_edges(tokens: DataFrame, node: str, key: str, salts: int = SALTS) -> DataFrame:
