@@ -1,9 +1,10 @@
 """Problem 7: the same postal address written differently.
 
-An address is reduced to what places it: number, kind of street, street name, town, postal code. The
-street names with their towns become character n-grams weighted by rarity; candidates come from an
-inverted index over the weight prefixes that a cosine threshold leaves, and are verified by exact
-cosine, edits and postal code. Linked spellings form streets; a place is a number in a street.
+An address is reduced to what places it: number, kind of street, street name, town, postal code. Street
+names within one town or postal code, and town names of one street, become character n-grams weighted
+by rarity; candidates come from an inverted index over the weight prefixes that a cosine threshold
+leaves, and are verified by exact cosine, edits and postal code. Linked spellings form streets; a place
+is a number in a street.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm.canonical import _osa
-from corvina.llm.components import connected_components
+from corvina.operators.graph import class_pairs, connected_components, lookup
 from corvina.session import Cut, spread, table
 
-#: Least cosine of the weighted n-grams of two spellings of a street in its town.
-COSINE = 0.4
+#: Least cosine of the weighted n-grams of two spellings of a street, and of a town.
+STREET_COSINE, TOWN_COSINE = 0.2, 0.3
 # Kinds of street and their abbreviations.
 KINDS = {
     "rue": "rue", "r": "rue", "avenue": "avenue", "ave": "avenue", "av": "avenue", "boulevard": "boulevard", "boul": "boulevard",
@@ -124,32 +125,43 @@ def weighted_prefix_join(items: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine) of all pairs of ``items`` (id, blocks, grams) that share a block, with cosine >= ``threshold``, a < b.
 
     Grams weigh log(1 + N / count). In rarity order a vector keeps the shortest prefix after which the
-    rest is shorter than the threshold; two vectors reach it only if their prefixes meet. Grams and
-    weights stay in arrays, the dot product is taken once a candidate, so no candidate is lost.
+    rest is shorter than the threshold; two vectors reach it only if their prefixes meet. Only ids and
+    hashes go through the index; the grams that two vectors share, whose weights are the same on both
+    sides, give the dot product, once a candidate. No candidate is lost, and a large block of the index is
+    split over many tasks. Items without grams or blocks pair with nothing.
     """
+    cut = Cut(items.sparkSession)
     g = items.select("id", F.explode(F.array_distinct("grams")).alias("g"))
     total = items.agg(F.count(F.lit(1)).alias("n"))
     df = g.groupBy("g").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(total))  # one row
-    w = g.join(df.select("g", "c", F.log1p(F.col("n") / F.col("c")).alias("w")), "g")
-    vec = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "g", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    vec = vec.withColumn("norm", norm).select(
-        "id", F.transform("v", lambda x: x["g"]).alias("gs"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("ws")
-    )
+    w = g.join(df.select("g", "c", F.pow(F.log1p(F.col("n") / F.col("c")), 2).alias("w")), "g")
+    vec = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", F.xxhash64("g").alias("g"), "w"))).alias("v"))
+    vec = vec.withColumn("square", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"]))
     # How many grams until the squares of the rest fall below the squared threshold.
+    least = F.lit(threshold * threshold) * F.col("square") - 1e-9
     keep = F.aggregate(
-        "ws",
-        F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")),
-        lambda s, x: F.struct((s["rest"] - x * x).alias("rest"), F.when(s["rest"] >= threshold * threshold - 1e-9, s["n"] + 1).otherwise(s["n"]).alias("n")),
+        "v",
+        F.struct(F.col("square").alias("rest"), F.lit(0).alias("n")),
+        lambda s, x: F.struct((s["rest"] - x["w"]).alias("rest"), F.when(s["rest"] >= least, s["n"] + 1).otherwise(s["n"]).alias("n")),
         lambda s: s["n"],
     )
-    vec = Cut(items.sparkSession)(vec.withColumn("keep", keep))
+    vec = cut(vec.select("id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), x["w"].alias("w"))).alias("v"), F.sqrt("square").alias("norm"), keep.alias("keep")))
     pre = vec.join(items.select("id", F.explode(F.array_distinct("blocks")).alias("block")), "id")
-    pre = pre.select("id", F.explode(F.transform(F.slice("gs", F.lit(1), F.col("keep")), lambda x: F.xxhash64(F.col("block"), x))).alias("key"))
-    cand = pre.select(F.col("id").alias("a"), "key").join(pre.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    side = lambda n: vec.select(F.col("id").alias(n), F.map_from_arrays("gs", "ws").alias(f"{n}v"))
-    dot = F.aggregate(F.map_keys("av"), F.lit(0.0), lambda s, k: s + F.col("av")[k] * F.coalesce(F.try_element_at(F.col("bv"), k), F.lit(0.0)))
-    return cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    pre = pre.select("id", F.explode(F.transform(F.slice("v", F.lit(1), F.col("keep")), lambda x: F.xxhash64(F.col("block"), x["g"]))).alias("key"))
+    live = pre.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    pre = cut(pre.join(live, "key"))
+    cand = class_pairs(pre, "key", "id").select("a", "b").distinct()
+    side = lambda n: vec.select(F.col("id").alias(n), F.col("v").alias(f"{n}v"), F.col("norm").alias(f"{n}n"))
+    dot = F.aggregate(F.array_intersect("av", "bv"), F.lit(0.0), lambda s, x: s + x["w"]) / (F.col("an") * F.col("bn"))
+    out = cut(cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-12))
+    cut.drop(vec, pre)
+    return out
+
+
+def _grams(c: Column) -> Column:
+    """Trigrams of a name without its blanks, its ends marked."""
+    t = F.concat(F.lit("^"), F.replace(c, F.lit(" "), F.lit("")), F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
 
 
 def same_street(street_a: str, town_a: str, post_a: str | None, street_b: str, town_b: str, post_b: str | None) -> bool:
@@ -174,11 +186,13 @@ def places(spark: SparkSession, addresses: DataFrame, id_col: str = "id", text:
     p = cut(parsed(addresses, id_col, text).where("street is not null and town is not null and kind is not null"))
     key = F.xxhash64("kind", "street", "town")
     spell = cut(p.groupBy("kind", "street", "town").agg(F.mode("post", True).alias("post")).withColumn("id", key))
-    text_of = F.concat(F.lit("^"), F.replace("street", F.lit(" "), F.lit("")), F.lit("$"), F.replace("town", F.lit(" "), F.lit("")), F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text_of) - 2, F.lit(1))), lambda i: F.substring(text_of, i, F.lit(3)))
-    # A street is met in its town, in its postal code or, where both are mistyped or missing, by its own name.
-    blocks = F.array_compact(F.array(F.concat_ws("|", F.lit("t"), "kind", "town"), F.when(F.col("post").isNotNull(), F.concat_ws("|", F.lit("p"), "kind", "post")), F.concat_ws("|", F.lit("s"), "kind", "street")))
-    pairs = weighted_prefix_join(spell.select("id", blocks.alias("blocks"), grams.alias("grams")), COSINE)
+    # Streets meet in their town or postal code; towns meet in their street, also where it has one letter less.
+    within = F.array_compact(F.array(F.concat_ws("|", F.lit("t"), "kind", "town"), F.when(F.col("post").isNotNull(), F.concat_ws("|", F.lit("p"), "kind", "post"))))
+    less = F.transform(F.sequence(F.lit(1), F.length("street")), lambda i: F.concat(F.substring(F.col("street"), F.lit(1), i - 1), F.substring(F.col("street"), i + 1, F.length("street"))))
+    named = F.transform(F.array_append(F.when(F.length("street") >= 5, less).otherwise(F.array().cast("array<string>")), F.col("street")), lambda x: F.concat_ws("|", "kind", x))
+    pairs = weighted_prefix_join(spell.select("id", within.alias("blocks"), _grams(F.col("street")).alias("grams")), STREET_COSINE).unionByName(
+        weighted_prefix_join(spell.select("id", named.alias("blocks"), _grams(F.col("town")).alias("grams")), TOWN_COSINE)
+    ).select("a", "b").distinct()
 
     @F.pandas_udf("boolean")
     def same(sa: pd.Series, ta: pd.Series, pa: pd.Series, sb: pd.Series, tb: pd.Series, pb: pd.Series) -> pd.Series:
@@ -191,19 +205,17 @@ def places(spark: SparkSession, addresses: DataFrame, id_col: str = "id", text:
     street = street.select(F.col("id").alias("sid"), F.coalesce("label", "id").alias("street_id"))
     rows = cut(p.withColumn("sid", key).join(street, "sid").select("address_id", "number", "street_id"))
     known = rows.groupBy("street_id").agg(F.count_distinct("number").alias("n"), F.max("number").alias("only"))
-    rows = rows.join(known, "street_id").where("number is not null or n <= 1")
+    rows = lookup(rows, known, "street_id").where("number is not null or n <= 1")
     rows = rows.select("address_id", "street_id", F.coalesce("number", "only", F.lit("")).alias("number"))
-    ids = rows.groupBy("street_id", "number").agg(F.min("address_id").alias("place_id"))
-    return rows.join(ids, ["street_id", "number"]).select("address_id", "place_id")
+    rows = cut(rows.withColumn("at", F.xxhash64("street_id", "number")).select("address_id", "at"))
+    return cut.keep(lookup(rows, rows.groupBy("at").agg(F.min("address_id").alias("place_id")), "at").select("address_id", "place_id"))
 
 
 def p7_places(spark: SparkSession, base: str) -> DataFrame:
     """One row for each address with a known place: (address_id, place_id, addresses)."""
     pl = places(spark, table(spark, base, "addresses"))
-    return pl.join(pl.groupBy("place_id").agg(F.count(F.lit(1)).alias("addresses")), "place_id").select("address_id", "place_id", "addresses")
+    return lookup(pl, pl.groupBy("place_id").agg(F.count(F.lit(1)).alias("addresses")), "place_id").select("address_id", "place_id", "addresses")
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    pl = Cut(spark)(places(spark, table(spark, base, "addresses")))
-    a, b = pl.select("place_id", F.col("address_id").alias("address_id_a")), pl.select("place_id", F.col("address_id").alias("address_id_b"))
-    return a.join(b, "place_id").where("address_id_a < address_id_b").select("address_id_a", "address_id_b").distinct()
+    return class_pairs(places(spark, table(spark, base, "addresses")), "place_id", "address_id").select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
