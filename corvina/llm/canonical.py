@@ -2,26 +2,29 @@
 
 A prefix-filter set-similarity join finds the candidates: both sides become sets of word-start
 trigrams ordered by global rarity, only the rare prefixes are joined, length and positional filters
-prune, and Jaccard is verified exactly. Of the candidates whose words can be aligned with the
-entry's words (equal, abbreviated or mistyped, same series) the closest is kept.
+prune, and Jaccard is verified exactly. Of the candidates whose words can be read as the entry's words
+(equal, abbreviated or mistyped, same series) the one with the highest Jaccard is kept.
 """
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.functions.text import decode_entities, unaccent
-from corvina.session import Cut, table
+from corvina.functions.text import STANDALONE_LETTERS
+from corvina.operators.graph import lookup
+from corvina.session import Cut, spread, table
 
 #: Least Jaccard similarity of the trigram sets of a candidate.
-THRESHOLD = 0.3
-#: Letters of a word that give trigrams: abbreviations keep a word's start.
-HEAD = 6
+THRESHOLD = 0.22
+#: Rows of one token that one task joins; a token with more is split.
+BLOCK = 10_000
 # What stands for "none given" once folded.
 NOTHING = ("", "n a", "na", "n d", "nd", "none", "null", "nan", "unknown", "inconnu", "non renseigne", "not available", "not given", "not specified", "undefined", "unspecified", "sans", "sans objet", "aucun", "s n", "s l", "tba", "tbd", "0")
 # Words that additions bring and that name nothing.
@@ -62,47 +65,47 @@ def mended_text(t: str) -> str:
     return t
 
 
-def repair(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as a Western single-byte text, wholly or in part, put right where it decodes."""
+_KEY = {
+    name: re.compile(x)
+    for name, x in {
+        "bracket": r"\((?!\s*ser)[^()]*\)",  # a place or an edition
+        "tail": r"(?:[.;:,/-]\s*(?:rev(?:ue|iew)?|journal|j)?\.? ?(?:en ligne|online|on line)\W*)+$",
+        "odd": r"[^a-z0-9.]+", "dotted": r"\.(?=[a-z0-9])", "dots": r"(?<![a-z0-9])\.+|\.(?=\.)", "added": rf"\b(?:{'|'.join(ADDITIONS)})\b\.?",
+    }.items()
+}
+_LETTERS = str.maketrans(STANDALONE_LETTERS)
 
-    return texts.map(lambda t: mended_text(t) if isinstance(t, str) else t)
 
+def key_of(text: str) -> str:
+    """Folded words of a name; dots after a word stay as a mark of abbreviation."""
+    while (t := html.unescape(text)) != text:
+        text = t
+    t = unicodedata.normalize("NFKD", mended_text(text).lower().translate(_LETTERS))
+    t = "".join(c for c in t if not unicodedata.combining(c))
+    t = _KEY["tail"].sub(" ", _KEY["bracket"].sub(" ", t))
+    t = _KEY["dots"].sub("", _KEY["dotted"].sub(". ", _KEY["odd"].sub(" ", t)))
+    return " ".join(_KEY["added"].sub(" ", t).split())
 
-def repaired(c: Column) -> Column:
-    """``repair`` as a column; Arrow batches of distinct values."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield repair(s)
 
-    return run(c)
+def keyed(values: DataFrame) -> DataFrame:
+    """(value, k) of the distinct values that aren't null; Arrow batches."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"value": pdf["value"], "k": [key_of(v) for v in pdf["value"]]})
 
-def key(c: Column) -> Column:
-    """Folded words of a name; dots after a word stay as a mark of abbreviation."""
-    s = unaccent(decode_entities(c))
-    s = F.regexp_replace(s, r"\((?!\s*ser)[^()]*\)", " ")  # a place or an edition
-    s = F.regexp_replace(s, r"(?:[.;:,/-]\s*(?:rev(?:ue|iew)?|journal|j)?\.? ?(?:en ligne|online|on line)\W*)+$", " ")
-    s = F.regexp_replace(s, r"[^a-z0-9.]+", " ")
-    s = F.regexp_replace(s, r"\.(?=[a-z0-9])", ". ")
-    s = F.regexp_replace(s, r"(?<![a-z0-9])\.+|\.(?=\.)", "")
-    s = F.regexp_replace(s, rf"\b(?:{'|'.join(ADDITIONS)})\b\.?", " ")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return spread(values.where("value is not null").select("value").distinct()).mapInPandas(run, "value string, k string")
 
 
 def plain(c: Column) -> Column:
-    """``key`` without the dots."""
+    """A key without the dots."""
     return F.trim(F.regexp_replace(c, r"[. ]+", " "))
 
 
 def grams(k: Column) -> Column:
-    """Distinct trigrams of the first letters of each word that isn't a joining word."""
+    """Distinct trigrams of each word that isn't a joining word, its start marked."""
     words = F.filter(F.split(plain(k), " "), lambda w: (F.length(w) > 0) & ~w.isin(*JOINING))
-    of = lambda w: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.least(F.length(w), F.lit(HEAD)) - 2, F.lit(0))),
-        lambda i: F.substring(F.concat(F.lit("^"), F.substring(w, 1, HEAD)), i + 1, F.lit(3)),
-    )
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(F.concat(F.lit("^"), w), i, F.lit(3)))
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
@@ -111,37 +114,43 @@ def prefix_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
     Sides: (lid | rid, toks array). Tokens are ranked by their count on both sides, rarest first; two
     sets reach the threshold only if their prefixes of |x| - ceil(t |x|) + 1 tokens meet. The join is an
-    equi-join on prefix tokens with length and positional filters; Jaccard is then exact. Empty sets
-    pair with nothing. Every candidate is verified, none is dropped.
+    equi-join on prefix tokens, split where a token is hot, with length and positional filters; only ids
+    go through it, the sets are fetched for the distinct candidates, and Jaccard is exact. Empty sets pair
+    with nothing. Every candidate is verified, none is dropped.
     """
-    longest = F.struct
-    counts = (
-        left.select(F.explode("toks").alias("t")).unionByName(right.select(F.explode("toks").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    cut = Cut(left.sparkSession)
+    counts = cut(
+        left.select(F.explode(F.array_distinct("toks")).alias("t")).unionByName(right.select(F.explode(F.array_distinct("toks")).alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     )
 
     def ordered(df: DataFrame, rid: str) -> DataFrame:
-        """Tokens as integers in rarity order."""
-        x = df.select(rid, F.explode("toks").alias("t")).join(counts, "t")
-        return x.groupBy(rid).agg(F.array_sort(F.collect_list(longest("n", "t"))).alias("o")).select(rid, F.col("o.t").alias("o"))
+        """Tokens in rarity order, as hashes, each with its count."""
+        x = df.select(rid, F.explode(F.array_distinct("toks")).alias("t")).join(counts, "t")
+        return cut(x.groupBy(rid).agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("t").alias("t")))).alias("o")))
 
     def prefixes(df: DataFrame, rid: str, p: str) -> DataFrame:
         size = F.size("o")
-        keep = size - F.ceil(F.lit(threshold) * size) + 1
-        return df.select(rid, F.col("o").alias(f"{p}o"), F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias(f"{p}p", "t"))
-
-    a, b = prefixes(ordered(left, "lid"), "lid", "l"), prefixes(ordered(right, "rid"), "rid", "r")
-    la, lb = F.size("lo"), F.size("ro")
+        keep = size - F.ceil(F.lit(threshold) * size - 1e-9) + 1
+        x = df.select(rid, size.alias(f"{p}n"), F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias(f"{p}p", "e"))
+        return x.select(rid, f"{p}n", f"{p}p", F.col("e.t").alias("t"), F.ceil(F.col("e.n") / BLOCK).cast("int").alias("parts"))
+
+    lo, ro = ordered(left, "lid"), ordered(right, "rid")
+    a = prefixes(lo, "lid", "l").withColumn("s", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).drop("parts")
+    b = prefixes(ro, "rid", "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    la, lb = F.col("ln"), F.col("rn")
     need = F.lit(threshold / (1 + threshold)) * (la + lb)
     pairs = (
-        a.join(b, "t")
-        .where((la >= F.lit(threshold) * lb) & (lb >= F.lit(threshold) * la))
+        a.join(b, ["t", "s"])
+        .where((la >= F.lit(threshold) * lb - 1e-9) & (lb >= F.lit(threshold) * la - 1e-9))
         .where(F.least(la - F.col("lp"), lb - F.col("rp")) >= need - 1e-9)
-        .groupBy("lid", "rid")
-        .agg(F.first("lo").alias("lo"), F.first("ro").alias("ro"))
+        .select("lid", "rid")
+        .distinct()
     )
+    words = lambda df, rid, name: df.select(rid, F.transform("o", lambda x: x["t"]).alias(name))
     both = F.size(F.array_intersect("lo", "ro"))
     j = both / (F.size("lo") + F.size("ro") - both)
-    return pairs.select("lid", "rid", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    out = pairs.join(words(lo, "lid", "lo"), "lid").join(words(ro, "rid", "ro"), "rid")
+    return cut.keep(out.select("lid", "rid", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12))
 
 
 def _osa(a: str, b: str, most: int) -> int:
@@ -221,14 +230,15 @@ def _is_contraction(w: str, e: str) -> bool:
 def map_values(spark: SparkSession, mentions: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(value, canonical_id, jaccard) of each distinct ``value`` of ``mentions`` that names something.
 
-    ``entries``: (canonical_id, name). canonical_id is 0 where no entry can be meant; ties go to the
-    lower cost, then the higher Jaccard, then the smaller id. Null, blank and "none given" values have
-    no row.
+    ``entries``: (canonical_id, name). canonical_id is 0 where no entry can be meant. Of the candidates
+    that the value can be read as, the one with the highest Jaccard is kept; ties go to the lower reading
+    cost, then to the smaller id. Null, blank and "none given" values have no row.
     """
-    vals = mentions.select("value").where("value is not null").distinct()
-    vals = Cut(spark)(vals.select("value", key(repaired(F.col("value"))).alias("k")).where(~plain(F.col("k")).isin(*NOTHING)))
+    cut = Cut(spark)
+    vals = cut(keyed(mentions).where(~plain(F.col("k")).isin(*NOTHING)))
     keys = vals.select(F.col("k").alias("lid")).distinct()
-    refs = entries.where("name is not null").select(F.col("canonical_id").alias("rid"), key(F.col("name")).alias("rk"))
+    known = entries.where("name is not null").select(F.col("canonical_id").alias("rid"), F.col("name").alias("value"))
+    refs = cut(known.join(keyed(known), "value").select("rid", F.col("k").alias("rk")))
     pairs = prefix_join(
         keys.select("lid", grams(F.col("lid")).alias("toks")), refs.select("rid", grams(F.col("rk")).alias("toks")), threshold
     ).join(refs, "rid")
@@ -238,13 +248,14 @@ def map_values(spark: SparkSession, mentions: DataFrame, entries: DataFrame, thr
         return pd.Series([aligned(a, b) for a, b in zip(m, e)], dtype="float64")
 
     best = (
-        pairs.withColumn("cost", cost("lid", "rk"))
+        spread(pairs).withColumn("cost", cost("lid", "rk"))
         .where("cost is not null and not isnan(cost)")
         .groupBy("lid")
-        .agg(F.min(F.struct("cost", (-F.col("jaccard")).alias("j"), "rid")).alias("b"))
+        .agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "cost", "rid")).alias("b"))
         .select(F.col("lid").alias("k"), F.col("b.rid").alias("canonical_id"), (-F.col("b.j")).alias("jaccard"))
     )
-    return vals.join(best, "k", "left").select("value", F.coalesce("canonical_id", F.lit(0).cast("bigint")).alias("canonical_id"), "jaccard")
+    out = vals.join(best, "k", "left").select("value", F.coalesce("canonical_id", F.lit(0).cast("bigint")).alias("canonical_id"), "jaccard")
+    return cut.keep(out)
 
 
 def _mapped(spark: SparkSession, base: str) -> DataFrame:
@@ -254,7 +265,7 @@ def _mapped(spark: SparkSession, base: str) -> DataFrame:
         entries = table(spark, base, name).select(F.col("id").alias("canonical_id"), F.col("name" if name == "publishers" else "title").alias("name"))
         values = m.select(F.col("id").alias("mention_id"), F.lit(field).alias("field"), F.col(column).alias("value"))
         mapped = map_values(spark, values, entries)
-        part = values.join(mapped, "value").select("mention_id", "field", "value", "canonical_id", "jaccard")
+        part = lookup(values, mapped, "value").where("canonical_id is not null").select("mention_id", "field", "value", "canonical_id", "jaccard")
         out = part if out is None else out.unionByName(part)
     return out
 
