@@ -5,8 +5,9 @@ stretches of each text are its maximum-scoring segments, and only inside them th
 tested: UTF-8 read as a single- or double-byte text (also twice), and one single-byte text read as
 another. A mapping counts if what it restores is more usual in the corpus than what stood there.
 
-Plain mutual information is highest for garbled pairs, whose characters hardly occur apart, so the
-joint probability enters with its third power.
+Plain mutual information is highest for garbled pairs, whose characters hardly occur apart, so its cubic
+variant is used, in which the joint probability enters with its third power. Shares are leave-one-out
+(the text itself doesn't make its pairs usual) and never below ``FLOOR``, at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from corvina.session import spread, table
 
 #: Power of the joint probability, and the score under which a pair is improbable.
 POWER, IMPROBABLE = 3.0, -4.0
-#: Pairs in fewer documents than this, and than this share of them, count as never seen; so the table of
-#: pairs has at most (mean distinct pairs of a document) / SHARE rows, whatever the corpus.
-LEAST_DOCS, SHARE = 2, 2e-5
+#: Least share of documents that is told from none; so the table of pairs has at most (mean distinct pairs of a
+#: document) / FLOOR rows, whatever the corpus. Characters of a larger share than KNOWN may come out of a mapping.
+FLOOR, KNOWN = 2e-5, 2e-4
+#: A mapping of single-byte texts must gain so many nats, and so many more for each character it changes; a
+#: stretch has a pair of a smaller share than RARE, and at most so many of the new pairs are below NEW_RARE.
+COST, COST_CHAR, RARE, NEW_RARE, WEAK = 6.0, 2.0, 1.2e-3, 8e-4, 0.34
 # Encodings that UTF-8 is read as.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "cp437", "cp850", "cp852", "mac_roman", "koi8-r", "cp866", "gbk", "big5", "cp932")
 # Fixed values: (read as, meant) among single-byte encodings.
@@ -84,13 +88,13 @@ class Repairer:
     """Finds and mends garbled stretches, given the document counts of characters and pairs."""
 
     def __init__(self, counts: dict[str, int], docs: int):
-        self.n, self.docs = counts, max(1, docs)
-        self.floor = math.log(0.3 / max(self.docs, 1000))
+        d = max(1, docs)
+        self.share = {k: max(FLOOR, (v - 1) / d) for k, v in counts.items()}
         self.tables = {e: self._table(e) for e in READ_AS if e not in ("gbk", "big5", "cp932")}
         self.swaps = [(a, b, m) for a, b in SWAPPED if (m := self._swap(a, b))]
         self.hints = {e: self._hint(t) for e, t in self.tables.items()}
         self.scores: dict[str, float] = {}
-        self.known = {k for k, v in counts.items() if len(k) == 1 and v >= max(3, self.docs * 2e-4)}
+        self.known = {k for k, v in counts.items() if len(k) == 1 and v - 1 >= KNOWN * d}
 
     @staticmethod
     def _table(enc: str) -> dict[str, int]:
@@ -126,15 +130,14 @@ class Repairer:
         return out
 
     def logp(self, pair: str) -> float:
-        c = self.n.get(pair)
-        return math.log(c / self.docs) if c else self.floor
+        return math.log(self.share.get(pair, FLOOR))
 
     def score(self, pair: str) -> float:
-        """How improbable a pair is: positive below the threshold."""
+        """How improbable a pair is: positive below the threshold. What stands for lost bytes is never probable."""
         got = self.scores.get(pair)
         if got is None:
-            pa, pb = self.n.get(pair[0], 1) / self.docs, self.n.get(pair[1], 1) / self.docs
-            got = self.scores[pair] = IMPROBABLE - (POWER * self.logp(pair) - math.log(pa) - math.log(pb))
+            got = 1.0 if LOST in pair else IMPROBABLE - (POWER * self.logp(pair) - self.logp(pair[0]) - self.logp(pair[1]))
+            self.scores[pair] = got
         return got
 
     def stretches(self, text: str) -> list[tuple[int, int]]:
@@ -213,49 +216,49 @@ class Repairer:
         return mean(old), mean(new)
 
     def mend(self, text: str) -> tuple[str, list[str], bool]:
-        """(restored text, mappings used, whether garbled text is left that can't be restored)."""
+        """(restored text, mappings used, whether a stretch is left whose bytes are lost)."""
         used: list[str] = []
-        lost = "�" in text
         if text.isascii():
             return text, used, False
-        for _ in range(3):  # encoded twice or more
-            likely = [e for e in READ_AS if (self.hints[e] if e in self.hints else CJK).search(text)]
-            if not likely:
-                break
-            spans, changed = self.stretches(text), False
-            votes = Counter()
+        spans = self.stretches(text)
+        lost = LOST in text and any(LOST in text[a:b] for a, b in spans)
+        while spans and (likely := [e for e in READ_AS if (self.hints[e] if e in self.hints else CJK).search(text)]):  # encoded twice or more
+            votes: Counter = Counter()
+            better = []
             for a, b in spans:
+                before, after = text[max(0, a - 1) : a], text[b : b + 1]
                 for enc in likely:
-                    new, hits = self._utf8(text[a:b], enc)
-                    if hits:
-                        p, q = self._gain(text[max(0, a - 1) : b + 1], text[max(0, a - 1) : a] + new + text[b : b + 1])
-                        if q > p or enc in ("cp1252", "latin-1") and hits > 1:
-                            votes[enc] += hits
-            for a, b in reversed(spans):
-                best = None
-                for enc in likely:
-                    new, hits = self._utf8(text[a:b], enc)
-                    if hits and votes[enc]:
-                        p, q = self._gain(text[max(0, a - 1) : b + 1], text[max(0, a - 1) : a] + new + text[b : b + 1])
-                        key = (hits, votes[enc], q)
-                        if (q > p or hits > 1) and (best is None or key > best[0]):
-                            best = (key, new, enc)
-                if best:
-                    text = text[:a] + best[1] + text[b:]
-                    used.append(f"utf-8 as {best[2]}")
-                    changed = True
-            if not changed:
+                    new, all_hits, gained = text[a:b], 0, None
+                    while (step := self._utf8(new, enc))[1]:  # a text encoded twice gains only when it is decoded twice
+                        new, all_hits = step[0], all_hits + step[1]
+                        p, q = self._gain(before + text[a:b] + after, before + new + after)
+                        if q > p and (gained is None or q > gained[2]):
+                            gained = (all_hits, new, q)
+                    if gained:
+                        votes[enc] += gained[0]
+                        better.append((a, b, gained[0], enc, gained[2], gained[1]))
+            best: dict[tuple[int, int], tuple] = {}
+            for a, b, hits, enc, q, new in better:
+                k = (hits, votes[enc], q, enc, new)
+                if k > best.get((a, b), (0,)):
+                    best[a, b] = k
+            for (a, b), (*_, enc, new) in sorted(best.items(), reverse=True):
+                text = text[:a] + new + text[b:]
+                used.append(f"utf-8 as {enc}")
+            if not best:
                 break
-        if not used:
-            text, name = self._swapped(text)
+            spans = self.stretches(text)
+        if not used and spans:
+            text, name = self._swapped(text, spans)
             used += [name] if name else []
         return text, used, lost
 
-    def _swapped(self, text: str) -> tuple[str, str]:
+    def _swapped(self, text: str, spans: list[tuple[int, int]]) -> tuple[str, str]:
         """The single-byte mapping that makes the improbable stretches usual, if one does."""
-        spans = [(max(0, a - 1), min(len(text), b + 1)) for a, b in self.stretches(text)]
-        rare = math.log(1.2e-3)
-        spans = [(a, b) for a, b in spans if any(self.logp(text[i : i + 2]) < rare for i in range(a, b - 1) if text[i] > "\x7f" or text[i + 1] > "\x7f")]
+        rare, new_rare, plain = math.log(RARE), math.log(NEW_RARE), math.log(0.3)
+        far = lambda s, i: s[i] > "\x7f" or s[i + 1] > "\x7f"
+        spans = [(max(0, a - 1), min(len(text), b + 1)) for a, b in spans]
+        spans = [(a, b) for a, b in spans if any(self.logp(text[i : i + 2]) < rare for i in range(a, b - 1) if far(text, i))]
         best = (0.0, "", "")
         for read, meant, m in self.swaps:
             gain, changed, weak, old_mass, pairs = 0.0, 0, 0, 0.0, 0
@@ -267,14 +270,14 @@ class Repairer:
                 changed += sum(x != y for x, y in zip(s, new))
                 for i in range(len(s) - 1):
                     if s[i] != new[i] or s[i + 1] != new[i + 1]:
-                        p, q = self.logp(s[i : i + 2]), self.logp(new[i : i + 2]) if (new[i] > "\x7f" or new[i + 1] > "\x7f") else math.log(0.3)
+                        p, q = self.logp(s[i : i + 2]), self.logp(new[i : i + 2]) if far(new, i) else plain
                         gain += q - p
                         old_mass += p
                         pairs += 1
-                        weak += q < math.log(8e-4)
-            if not changed or old_mass / pairs > rare or weak > 0.34 * pairs:
+                        weak += q < new_rare
+            if not changed or old_mass / pairs > rare or weak > WEAK * pairs:
                 continue
-            if gain / changed >= (4.0 if changed < 20 else 1.8) and gain >= 8.0 and gain > best[0]:
+            if gain >= COST + COST_CHAR * changed and gain > best[0]:
                 mapped = list(text)
                 for a, b in spans:
                     mapped[a:b] = [m.get(c, c) for c in text[a:b]]
@@ -282,6 +285,7 @@ class Repairer:
         return (best[1], best[2]) if best[2] else (text, "")
 
 
+LOST = "\ufffd"
 RUN = re.compile(r"[^\x00-\x7f]+")
 CJK = re.compile("[\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef]")
 RESULT = "doc_id bigint, restorable boolean, mapping string, text string"
@@ -290,13 +294,13 @@ RESULT = "doc_id bigint, restorable boolean, mapping string, text string"
 def find_garbled(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restorable, mapping, text) of every document with garbled text; ``text`` as far as it could be restored.
 
-    Null, empty and ASCII texts are never garbled; whole texts are read. restorable is false where
-    replacement characters show that bytes are gone.
+    Null, empty and ASCII texts are never garbled; whole texts are read. restorable is false where a
+    stretch with replacement characters shows that bytes are gone.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     counts = char_counts(d)
     total = d.count()
-    rows = counts.where(F.col("n") >= max(LEAST_DOCS, SHARE * total)).collect()  # bounded, see SHARE
+    rows = counts.where((F.col("n") - 1) > FLOOR * total).collect()  # bounded, see FLOOR
     model = spark.sparkContext.broadcast(({r["k"]: r["n"] for r in rows}, total))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

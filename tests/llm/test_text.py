@@ -82,7 +82,7 @@ def repairer(docs):
     n = Counter()
     for t in docs:
         n.update(set(t) | {t[i : i + 2] for i in range(len(t) - 1) if not t[i : i + 2].isascii()})
-    return E.Repairer({k: v for k, v in n.items() if v >= 2}, len(docs))
+    return E.Repairer(dict(n), len(docs))
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251"])
