@@ -16,6 +16,7 @@ QUERIES = {
     "p5_classes": names.p5_classes,
     "p6_found": survivor.p6_found,
     "p6_survivors": survivor.p6_survivors,
+    "p6_values": survivor.p6_values,
     "p7_found": addresses.p7_found,
     "p7_places": addresses.p7_places,
     "p8_ids": tokenize.p8_ids,

@@ -2,8 +2,9 @@
 
 A latent two-sided quality model judges the values: every source has a sensitivity (it states a value
 that is true) and a specificity (it doesn't state one that is false), learnt by expectation-maximisation
-together with the share of true values in each class of defects. Fields may keep several values judged
-true; the survivor among them is chosen by the field's rule.
+together with the share of true values in each class of defects. ``p6_values`` keeps every value judged
+true, several of a field where several are; the one survivor of a field is chosen by the field's rule, with
+the posterior deciding where the rule leaves a choice.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import normalize_text, unaccent
 from corvina.llm.canonical import GARBLED
+from corvina.operators.graph import lookup
 from corvina.session import Cut, table
 
 # Sources in the order of trust.
@@ -73,9 +75,10 @@ def judge(spark: SparkSession, claims: DataFrame, classes: int) -> DataFrame:
     """
     bit = F.coalesce(F.array_position(F.array(*map(F.lit, TRUST)), F.col("source")).cast("int"), F.lit(0))
     c = claims.withColumn("bit", F.pow(F.lit(2), bit).cast("int"))
-    says = c.groupBy("item", "value").agg(F.bit_or("bit").alias("says"), F.min("defect").alias("defect"))
-    covers = c.groupBy("item").agg(F.bit_or("bit").alias("covers"))
-    v = says.join(covers, "item")
+    cut = Cut(spark)
+    says = cut(c.groupBy("item", "value").agg(F.bit_or("bit").alias("says"), F.min("defect").alias("defect")))
+    covers = says.groupBy("item").agg(F.bit_or("says").alias("covers"))
+    v = cut(lookup(says, covers, "item"))
     rows = v.groupBy("says", "covers", "defect").agg(F.count(F.lit(1)).alias("n")).collect()
     post, *_ = em_two_sided([(r["says"], r["covers"], r["defect"], r["n"]) for r in rows], len(TRUST) + 1, classes)
     found = spark.createDataFrame([(*k, p) for k, p in post.items()] or [(0, 0, 0, 0.0)], "says int, covers int, defect int, posterior double")
@@ -137,23 +140,22 @@ def surviving_titles(spark: SparkSession, sp: DataFrame) -> DataFrame:
     bag = lambda c: F.array_sort(F.split(normalize_text(F.col(c)), " "))
     a, b = normalize_text(F.col("value")), normalize_text(F.col("lead"))
     variant = (F.col("value") != F.col("lead")) & ((F.levenshtein(a, b, 4) >= 0) | (bag("value") == bag("lead")) | (F.startswith(b, a)))
-    kept = values.join(lead, "item").where(~F.coalesce(variant, F.lit(False)))
+    kept = lookup(values, lead, "item").where(~F.coalesce(variant, F.lit(False)))
     best = kept.groupBy("item").agg(F.min(F.struct("trust", (-F.col("score")).alias("s"), "sp_id", "value")).alias("b")).select("item", F.col("b.value").alias("value"))
     return _carriers(claims, best)
 
 
 def _carriers(claims: DataFrame, best: DataFrame) -> DataFrame:
     """The smallest record that carries the surviving value of each item."""
-    hit = claims.join(best, ["item", "value"]).groupBy("item", "value").agg(F.min(F.struct("sp_id", "source")).alias("m"))
+    hit = lookup(claims, best.withColumnRenamed("value", "best"), "item").where("value = best").groupBy("item", "value").agg(F.min(F.struct("sp_id", "source")).alias("m"))
     return hit.select(F.col("item").alias("publication_id"), F.col("m.sp_id").alias("sp_id"), F.col("m.source").alias("source"), "value")
 
 
-def surviving_abstracts(spark: SparkSession, sp: DataFrame) -> DataFrame:
-    """(publication_id, sp_id, source, value): whole abstracts of the work without other matter; the one updated last wins.
+def abstract_claims(spark: SparkSession, sp: DataFrame) -> DataFrame:
+    """(item, sp_id, source, value, h, updated_at, defect) of the usable abstracts, a table: 0 sound, 1 flawed, 2 with matter of others.
 
-    Left out are placeholders, cut texts (an ellipsis, no closing mark, or the beginning of the
-    longest one), texts given twice, titles, garbled and marked-up texts, and texts with sentences
-    that publications of several languages share.
+    Flawed are cut texts (an ellipsis, no closing mark), texts given twice, titles, garbled and marked-up
+    texts; matter of others are sentences that publications of several languages share.
     """
     cut = Cut(spark)
     a = F.trim(F.regexp_replace("abstract", r"(?U)\s+", " "))
@@ -178,9 +180,14 @@ def surviving_abstracts(spark: SparkSession, sp: DataFrame) -> DataFrame:
         | F.coalesce(normalize_text(F.col("value")) == normalize_text(F.col("title")), F.lit(False))
     )
     defect = F.when(F.coalesce("boiler", F.lit(False)), 2).when(flawed, 1).otherwise(0)
-    c = cut(c.join(foreign, ["item", "h"], "left").withColumn("defect", defect).drop("boiler"))
+    return cut.keep(c.join(foreign, ["item", "h"], "left").withColumn("defect", defect).select("item", "sp_id", "source", "value", "h", "updated_at", "defect"))
+
+
+def surviving_abstracts(spark: SparkSession, sp: DataFrame) -> DataFrame:
+    """(publication_id, sp_id, source, value): sound abstracts, no beginning of the longest one; the one updated last wins, then the likelier one."""
+    c = abstract_claims(spark, sp)
     longest = c.where("defect = 0").groupBy("item").agg(F.max_by("value", F.length("value")).alias("longest"))
-    sound = c.where("defect = 0").join(longest, "item").where((F.col("value") == F.col("longest")) | ~F.startswith(F.col("longest"), F.col("value")))
+    sound = lookup(c.where("defect = 0"), longest, "item").where((F.col("value") == F.col("longest")) | ~F.startswith(F.col("longest"), F.col("value")))
     post = judge(spark, c.select("item", "source", "h", "defect").withColumnRenamed("h", "value"), 3)
     late = F.coalesce(F.col("updated_at").cast("string"), F.lit(""))
     best = (
@@ -192,25 +199,54 @@ def surviving_abstracts(spark: SparkSession, sp: DataFrame) -> DataFrame:
     return _carriers(c, best)
 
 
-def surviving_oa(sp: DataFrame) -> DataFrame:
-    """(publication_id, sp_id, source, value): the most open known status, apart from case and outer blanks."""
+def oa_claims(sp: DataFrame) -> DataFrame:
+    """(item, sp_id, source, value, rank, defect) of the known statuses, apart from case and outer blanks; 0 open, 1 closed or embargoed."""
     v = F.lower(F.trim(F.regexp_replace("oa_status", r"(?U)\s+", " ")))
     rank = F.create_map(*[F.lit(x) for kv in OA_RANK.items() for x in kv])
     c = sp.select(F.col("publication_id").alias("item"), F.col("id").alias("sp_id"), "source", v.alias("value"), F.try_element_at(rank, v).alias("rank")).where("rank is not null")
+    return c.withColumn("defect", (F.col("rank") <= OA_RANK["embargoed"]).cast("int"))
+
+
+def surviving_oa(spark: SparkSession, sp: DataFrame) -> DataFrame:
+    """(publication_id, sp_id, source, value): the most open known status."""
+    c = Cut(spark)(oa_claims(sp))
     best = c.groupBy("item").agg(F.max(F.struct("rank", "value")).alias("b")).select("item", F.col("b.value").alias("value"))
     return _carriers(c, best)
 
 
+def _groups(spark: SparkSession, sp: DataFrame) -> DataFrame:
+    """The records of publications with two or more, a table; rows without publication_id belong to no group."""
+    cut = Cut(spark)
+    sp = cut(sp.select("id", "source", "publication_id", "title", "abstract", "oa_status", "language", "updated_at").where("publication_id is not null"))
+    n = sp.groupBy("publication_id").agg(F.count(F.lit(1)).alias("n"))
+    return cut.keep(lookup(sp, n, "publication_id").where("n > 1").drop("n"))
+
+
+def true_values(spark: SparkSession, sp: DataFrame) -> DataFrame:
+    """(publication_id, field, value, sources, posterior, kept): every usable value of each field with its posterior.
+
+    kept are the values judged true (posterior of 0.5 or more); a field may keep several, or none.
+    """
+    sp = _groups(spark, sp)
+    cut = Cut(spark)
+    out = None
+    for field, claims, classes in (("title", title_claims(sp), 4), ("abstract", abstract_claims(spark, sp), 3), ("oa_status", oa_claims(sp), 2)):
+        c = cut(claims.select("item", F.xxhash64("value").alias("h"), "value", "source", "defect"))
+        post = judge(spark, c.select("item", F.col("h").alias("value"), "source", "defect"), classes).withColumnRenamed("value", "h")
+        v = c.groupBy("item", "h").agg(F.first("value").alias("value"), F.array_sort(F.collect_set("source")).alias("sources"))
+        v = v.join(post, ["item", "h"]).select(F.col("item").alias("publication_id"), F.lit(field).alias("field"), "value", "sources", F.round("posterior", 6).alias("posterior"))
+        out = v if out is None else out.unionByName(v)
+    return out.withColumn("kept", F.col("posterior") >= 0.5)
+
+
 def survivors(spark: SparkSession, sp: DataFrame) -> DataFrame:
     """(publication_id, field, sp_id, source, value) of each publication with two or more records and each field with a usable value.
 
     Rows without publication_id belong to no group. A publication held by a third of all rows is met
     only by hash aggregates and joins on (item, value).
     """
-    sp = sp.select("id", "source", "publication_id", "title", "abstract", "oa_status", "language", "updated_at").where("publication_id is not null")
-    many = sp.groupBy("publication_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("publication_id")
-    sp = Cut(spark)(sp.join(many, "publication_id", "left_semi"))
-    parts = [("title", surviving_titles(spark, sp)), ("abstract", surviving_abstracts(spark, sp)), ("oa_status", surviving_oa(sp))]
+    sp = _groups(spark, sp)
+    parts = [("title", surviving_titles(spark, sp)), ("abstract", surviving_abstracts(spark, sp)), ("oa_status", surviving_oa(spark, sp))]
     out = None
     for field, df in parts:
         df = df.select("publication_id", F.lit(field).alias("field"), "sp_id", "source", "value")
@@ -223,5 +259,10 @@ def p6_survivors(spark: SparkSession, base: str) -> DataFrame:
     return survivors(spark, table(spark, base, "source_publications"))
 
 
+def p6_values(spark: SparkSession, base: str) -> DataFrame:
+    """Every value of each field with the posterior that it is true, and whether it is kept."""
+    return true_values(spark, table(spark, base, "source_publications"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_survivors(spark, base).select("publication_id", "field", "sp_id")
