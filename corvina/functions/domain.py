@@ -20,18 +20,6 @@ def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> C
     return out if default is None else F.coalesce(out, default)
 
 
-def map_doc_type(c: Column, table: dict[str, str]) -> Column:
-    """the first part of a composite value (``a; b``) that the table knows, else ``other``; null stays null."""
-    parts = F.transform(F.split(F.lower(c), r"\s*;\s*"), lambda p: mapped(p, table))
-    return F.when(c.isNotNull(), F.coalesce(F.get(F.array_compact(parts), 0), F.lit("other")))
-
-
-def merge_roles(roles: Column) -> Column:
-    """distinct sorted roles; a jury president, rapporteur or examiner implies membership of the jury."""
-    jury = F.arrays_overlap(roles, F.array(*map(F.lit, ("jury_president", "rapporteur", "examiner"))))
-    return F.array_sort(F.array_distinct(F.when(jury, F.array_append(roles, "jury_member")).otherwise(roles)))
-
-
 def oa_rank(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OA_RANK.items() for x in kv]), c), F.lit(0))
 
@@ -41,23 +29,14 @@ def best_oa(c: Column) -> Column:
     return F.max_by(c, F.when(oa_rank(c) > 0, oa_rank(c)))
 
 
-def decide_oa(current: Column, found: Column) -> Column:
-    """the status after a check; some current ones are better informed and are kept."""
+def decide_oa(current: Column, found: Column, deposit: Column | None = None) -> Column:
+    """the status after a check; it keeps a diamond beside gold, an embargo and an open deposit beside closed ones."""
     shut = found.isin("closed", "unknown")
-    keep = (
-        (current == found) | ((current == "diamond") & (found == "gold")) | ((current == "embargoed") & shut) | ((current == "green") & shut)
-    )
+    held = F.coalesce(deposit, F.lit(False)) if deposit is not None else F.lit(False)
+    keep = (current == found) | ((current == "diamond") & (found == "gold")) | ((current == "embargoed") & shut) | (held & shut)
     return F.when(found.isNull() | F.coalesce(keep, F.lit(False)), current).otherwise(found)
 
 
-def derive_oa(is_open: Column, journal_model: Column, embargo_until: Column, today: Column) -> Column:
-    """a status from a source's facts."""
-    return (
-        F.when(F.coalesce(is_open, F.lit(False)) & (journal_model == "full_oa"), "gold")
-        .when(F.coalesce(is_open, F.lit(False)), "green").when(embargo_until > today, "embargoed").otherwise("closed")
-    )
-
-
 def expected_oa(model: Column, status: Column) -> Column:
     """whether a status is what the journal's model lets expect; an unknown model expects nothing."""
     return F.when(model == "full_oa", status.isin("gold", "diamond")).when(model == "subscription", ~status.isin("gold", "diamond"))
@@ -80,11 +59,16 @@ def abstract_from_index(index: Column) -> Column:
     return F.nullif(F.array_join(F.transform(F.array_sort(words), lambda x: x["w"]), " "), F.lit(""))
 
 
+# Words that mark a part of a book in a normalised title.
+CHAPTER_WORDS = r"\b(chapitre|chapter|chap|ch|section|sec|partie|part|vol|tome|pp|p)\b"
+
+
 def chapter_title(c: Column) -> Column:
-    """a chapter title without its number."""
-    return F.trim(F.regexp_replace(F.lower(c), r"^(?:chapter|chapitre|kapitel)\s+[\divxlc]+\s*[.:–-]*\s*|^\d+[.:]\s*", ""))
+    """a normalised title without numbers and the words that mark a part."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\d+", " "), CHAPTER_WORDS, " "), r"\s+", " "))
 
 
-def contained_titles(titles: Column) -> Column:
-    """whether of every two titles one contains the other (really one title)."""
-    return F.forall(titles, lambda a: F.forall(titles, lambda b: F.contains(a, b) | F.contains(b, a)))
+def distinct_chapters(titles: Column) -> Column:
+    """whether two of the normalised titles are really different: neither contains the other once cleaned. Empty ones don't count."""
+    cleaned = F.array_distinct(F.filter(F.transform(titles, chapter_title), lambda t: t != ""))
+    return F.exists(cleaned, lambda a: F.exists(cleaned, lambda b: ~F.contains(a, b) & ~F.contains(b, a)))

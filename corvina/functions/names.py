@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvina.functions.text import normalize_text
+
 
 def parse_name(c: Column) -> Column:
     """struct(last, first) of "Last, First" or "First ... Last"; a single word is a last name."""
@@ -45,16 +47,34 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(close.between(0, 1), True).when(close == 2, swap).otherwise(False)
 
 
+def name_tokens(*parts: Column) -> Column:
+    """the set of words of a name without accents, signs and digits (years of birth stand beside some names)."""
+    text = F.regexp_replace(normalize_text(F.concat_ws(" ", *parts)), r"\d+", " ")
+    return F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
+
+
 def compatible(a: Column, b: Column) -> Column:
-    """every token of the shorter array fits one of the longer: equal, or an initial of it; empty fits nothing."""
+    """every token of the smaller set fits one of the larger: equal, or an initial of it; an empty set fits nothing."""
     fits = lambda t, u: (t == u) | ((F.length(t) == 1) & F.startswith(u, t)) | ((F.length(u) == 1) & F.startswith(t, u))
     small, big = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    return (F.size(small) > 0) & F.forall(small, lambda t: F.exists(big, lambda u: fits(t, u)))
+    return (F.size(a) > 0) & (F.size(b) > 0) & F.forall(small, lambda t: F.exists(big, lambda u: fits(t, u)))
+
+
+def names_compatible(a: Column, b: Column) -> Column:
+    """F15 on two whole names, in any order of their parts."""
+    return compatible(name_tokens(a), name_tokens(b))
+
+
+def close_part(a: Column, b: Column) -> Column:
+    """F16: family names, or given names, apart by spelling only: same words, same letters, or one edit if both have two letters or more."""
+    ta, tb = name_tokens(a), name_tokens(b)
+    joined = lambda c: F.replace(F.regexp_replace(normalize_text(c), r"\d+", ""), F.lit(" "), F.lit(""))
+    x, y = joined(a), joined(b)
+    same = (F.array_sort(ta) == F.array_sort(tb)) | (x == y) | ((F.length(x) >= 2) & (F.length(y) >= 2) & within_one_edit(x, y))
+    return (F.size(ta) > 0) & (F.size(tb) > 0) & same
 
 
 def same_person(last_a: Column, first_a: Column, last_b: Column, first_b: Column) -> Column:
-    """F16: names of one person: same letters in the last name apart from blanks or one edit, and compatible first names; or the two swapped."""
-    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    near = lambda x, y: (squeeze(x) == squeeze(y)) | ((F.least(F.length(x), F.length(y)) >= 4) & within_one_edit(x, y))
-    firsts = lambda x, y: compatible(F.split(x, "[ -]+"), F.split(y, "[ -]+")) | ((F.least(F.length(x), F.length(y)) >= 4) & within_one_edit(x, y))
-    return (near(last_a, last_b) & firsts(first_a, first_b)) | ((last_a == first_b) & (first_a == last_b))
+    """F16: names of one person: compatible as sets of words, or family and given name each apart by spelling only."""
+    whole = compatible(name_tokens(last_a, first_a), name_tokens(last_b, first_b))
+    return F.coalesce(whole, F.lit(False)) | F.coalesce(close_part(last_a, last_b) & close_part(first_a, first_b), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,20 +73,35 @@ def sanitize_raw_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[\p{Cf}\p{Cc}\p{Cs}\p{Co}]+", ""))
 
 
-# The entities that bibliographic feeds use most.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&#39;": "'",
-    "&#x27;": "'", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&amp;": "&",
-}
+@lru_cache(maxsize=1)
+def entity_table() -> dict[str, str]:
+    """Every named character reference of HTML (with its semicolon) and its text."""
+    return {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
 
 
-def decode_entities(c: Column, rounds: int = 4) -> Column:
-    """Named and common numeric entities, to a fixpoint of at most ``rounds`` (doubly encoded text)."""
-    out = c
-    for _ in range(rounds):
-        for a, b in NAMED_ENTITIES.items():
-            out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+def decode_entities(c: Column) -> Column:
+    """Named and numeric character references as their characters, to the end also where they were encoded repeatedly.
+
+    Repeated encoding only repeats the ampersand (``&amp;amp;lt;``), so that is undone first, at any depth;
+    then each reference that stands in the text is replaced. Unknown references stay.
+    """
+    amp = r"&(?:(?:amp|AMP|#0*38|#[xX]0*26);)+"
+    flat = F.regexp_replace(c, amp + r"(?=(?:[A-Za-z][A-Za-z0-9]*|#\d+|#[xX][0-9A-Fa-f]+);)", "&")
+    found = F.array_distinct(F.regexp_extract_all(flat, F.lit(r"(&(?:[A-Za-z][A-Za-z0-9]*|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"), 1))
+    named = F.map_from_arrays(F.array(*map(F.lit, entity_table())), F.array(*map(F.lit, entity_table().values())))
+
+    def text_of(e: Column) -> Column:
+        digits = F.regexp_extract(e, r"^&#(\d+);$", 1)
+        code = F.when(digits != "", F.hex(digits.cast("bigint"))).otherwise(F.regexp_extract(e, r"^&#[xX]([0-9A-Fa-f]+);$", 1))
+        value = F.conv(code, 16, 10).cast("bigint")
+        sound = (code != "") & value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+        numeric = F.when(sound, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        return F.coalesce(numeric, F.try_element_at(named, e), e)
+
+    # The ampersand comes last, so that what it leaves isn't read as a reference again.
+    order = F.concat(F.filter(found, lambda e: ~e.isin("&amp;", "&AMP;", "&#38;", "&#x26;")), F.filter(found, lambda e: e.isin("&amp;", "&AMP;", "&#38;", "&#x26;")))
+    out = F.aggregate(F.transform(order, lambda e: F.struct(e.alias("e"), text_of(e).alias("t"))), flat, lambda acc, x: F.replace(acc, x["e"], x["t"]))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def clean_title(c: Column) -> Column:

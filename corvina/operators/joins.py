@@ -15,18 +15,21 @@ def pairs_within(df: DataFrame, key: str, ident: str, keep: Sequence[str] = ())
     return side("a").join(side("b"), key).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
 
 
-def word_suffixes(c: Column, least: int = 1) -> Column:
-    """The endings of a text that start at a word, the whole text included."""
-    w = F.split(c, " ")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - least, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.size(w)), " "))
+def endings(c: Column, least: int = 1) -> Column:
+    """All endings of a text with ``least`` characters or more, the whole text included; none of shorter texts."""
+    n = F.length(c)
+    return F.when(n >= least, F.transform(F.sequence(F.lit(1), n - (least - 1)), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
 
 
-def suffix_join(left: DataFrame, text: str, right: DataFrame, ending: str) -> DataFrame:
-    """Rows of ``left`` whose ``text`` ends, at a word border, with ``ending`` of ``right``.
+def suffix_join(left: DataFrame, text: str, right: DataFrame, ending: str, least: int = 1) -> DataFrame:
+    """Rows of ``left`` whose ``text`` ends with ``ending`` of ``right``, of ``least`` characters or more, at any place.
 
-    The suffixes are exploded and met by equality, so no nested loop is needed.
+    The endings are exploded as hashes and met by equality, so no nested loop is needed; the texts are
+    compared after that. Empty endings meet nothing.
     """
-    return left.withColumn("__s", F.explode(word_suffixes(F.col(text)))).join(right.where(F.col(ending) != ""), F.col("__s") == F.col(ending)).drop("__s")
+    l = left.withColumn("__h", F.explode(F.transform(endings(F.col(text), least), lambda x: F.xxhash64(x))))  # noqa: E741
+    r = right.where((F.col(ending) != "") & (F.length(ending) >= least)).withColumn("__h", F.xxhash64(ending))
+    return l.join(r, "__h").where(F.endswith(F.col(text), F.col(ending))).drop("__h")
 
 
 def unique_match(df: DataFrame, child: str, parent: str) -> DataFrame:

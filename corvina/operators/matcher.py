@@ -64,8 +64,8 @@ def match_structures(matched: DataFrame, forms: DataFrame, tid: str) -> DataFram
     m = matched.join(forms, "form_id")
     per = m.groupBy(tid).agg(F.collect_set("structure_id").alias("seen"), F.collect_set(F.when(F.col("is_excluding"), F.col("structure_id"))).alias("out"))
     ok = m.join(per, tid).where(~F.col("is_excluding") & (F.coalesce("structure_type", F.lit("")) != "site") & ~F.array_contains("out", F.col("structure_id")))
-    need = F.coalesce("requires_context_of", F.array().cast("array<bigint>"))
-    ok = ok.where((F.size(need) == 0) | F.arrays_overlap(need, F.col("seen")))
+    free = F.coalesce(F.size("requires_context_of"), F.lit(0)) <= 0
+    ok = ok.where(free | F.coalesce(F.arrays_overlap("requires_context_of", F.col("seen")), F.lit(False)))
     return ok.groupBy(tid, "structure_id").agg(F.min("form_id").alias("form_id"))
 
 
@@ -80,12 +80,14 @@ def delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, action.alias("action"))
 
 
-def trailing(texts: DataFrame, tid: str, text: str, names: DataFrame, name: str, code: str, longest: int = 5) -> DataFrame:
-    """(tid, code) of the longest name, in words, that a text ends with."""
+def trailing(texts: DataFrame, tid: str, text: str, names: DataFrame, name: str, code: str) -> DataFrame:
+    """(tid, code) of the longest name, in words, that a text ends with. The lengths looked for are those that names have."""
+    n = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("__g"), code, F.size(F.split(name, " ")).alias("__n"))
+    lengths = n.agg(F.collect_set("__n").alias("__l"))  # the few lengths of names, one row
     w = F.split(text, " ")
-    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(longest))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w, -n, n), " ").alias("g")))
-    e = texts.where(F.col(text).isNotNull()).select(tid, F.explode(ends).alias("e"))
-    return e.join(names.select(F.col(name).alias("__g"), code), F.col("e.g") == F.col("__g")).groupBy(tid).agg(F.max_by(code, "e.n").alias(code))
+    ends = F.transform(F.filter("__l", lambda k: k <= F.size(w)), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(w, -k, k), " ").alias("g")))
+    e = texts.where(F.col(text).isNotNull()).crossJoin(F.broadcast(lengths)).select(tid, F.explode(ends).alias("e"))
+    return e.join(n.select("__g", code), F.col("e.g") == F.col("__g")).groupBy(tid).agg(F.max_by(code, "e.n").alias(code))
 
 
 def single_place(texts: DataFrame, tid: str, text: str, places: DataFrame, place: str, code: str) -> DataFrame:

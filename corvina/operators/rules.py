@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.functions.domain import chapter_title
+from corvina.operators.graph import lookup
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -18,6 +21,7 @@ class Rule:
     value: str
 
 
+# The conditions below and their order.
 AO = "doc_type in ('article', 'other')"
 ARO = "doc_type in ('article', 'review', 'other')"
 T = "lower(title_normalized)"
@@ -32,8 +36,8 @@ RULES = (
     Rule("declared_preprint", "doc_type", "self_declared_preprint", "preprint"),
     Rule("title_media", "doc_type", f"{AO} and rlike({T}, '^(interview|reportage|podcast)')", "media"),
     Rule("figshare_collection", "doc_type", f"{AO} and contains(doi, 'm9.figshare.c.')", "dataset"),
-    Rule("title_supplement", "doc_type", f"{AO} and rlike({T}, '^(supplementary|supplemental|additional file|supporting information)')", "dataset"),
-    Rule("title_erratum", "doc_type", f"doc_type in ('article', 'other', 'review', 'letter', 'editorial', 'preprint', 'book_chapter') and rlike({T}, '^(erratum|errata|corrigendum|author correction|publisher correction)')", "erratum"),
+    Rule("title_supplement", "doc_type", f"{AO} and rlike({T}, '^(additional file|supplementary material|supplementary data|supplementary information|supplementary file|supplementary dataset|data from)')", "dataset"),
+    Rule("title_erratum", "doc_type", f"doc_type in ('article', 'preprint', 'review', 'conference_paper', 'data_paper', 'letter', 'other') and rlike({T}, '^(erratum|errata|corrigendum|author correction|publisher correction)')", "erratum"),
     Rule("title_retraction", "doc_type", f"{AO} and rlike({T}, '^retraction (notice|note)')", "retraction"),
     Rule("title_editorial", "doc_type", AO + r" and rlike(title, '(?i)^\\s*editorial\\s*:')", "editorial"),
     Rule("title_letter", "doc_type", AO + r" and rlike(title, '(?i)^\\s*letter\\s*:')", "letter"),
@@ -83,17 +87,42 @@ def strip_dissertation_keys(ids: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def same_work(records: DataFrame) -> DataFrame:
+    """(doi, canonical_doi, case): what a secondary form of a work is declared to be a form of.
+
+    ``records``: source, doi, doc_type, meta. A version or variant (datacite) is a form of what it names; a
+    part of a dataset is a piece of it if that is known as a dataset. A form names something else than itself;
+    of several the smallest counts.
+    """
+    r = records.where("source = 'datacite' and doi is not null").select(F.lower("doi").alias("doi"), "doc_type", F.explode(F.from_json(F.get_json_object("meta", "$.related_identifiers"), "array<struct<doi:string,relation_type:string>>")).alias("r"))
+    r = r.select("doi", "doc_type", F.lower("r.doi").alias("canonical_doi"), F.col("r.relation_type").alias("t")).where("canonical_doi <> doi")
+    sets = records.where("doc_type = 'dataset' and doi is not null").select(F.lower("doi").alias("canonical_doi")).distinct()
+    form = F.when(F.col("t") == "IsVersionOf", "version_to_concept").when(F.col("t") == "IsVariantFormOf", "variant_to_primary")
+    forms = r.withColumn("case", form).where("case is not null").select("doi", "canonical_doi", "case")
+    pieces = r.where("doc_type = 'dataset' and t = 'IsPartOf'").join(sets, "canonical_doi", "left_semi").select("doi", "canonical_doi", F.lit("package_piece").alias("case"))
+    return forms.unionByName(pieces).groupBy("doi").agg(F.min(F.struct("case", "canonical_doi")).alias("m")).select("doi", "m.canonical_doi", "m.case")
+
+
 def correct_clusters(df: DataFrame) -> DataFrame:
     """(id, new_doi, case) of the records whose DOI is decided by the records that share it.
 
-    A canonical DOI in the group is taken by all; else books with chapters: the chapters lose it; else
-    chapters alone with two or more really different titles: all lose it.
-    ``df``: id, doi, doc_type, title, canonical_doi (nullable).
+    A canonical DOI that a record of the group declares is taken by all; else, beside a book, chapters lose
+    theirs; else chapters alone with two really different titles all lose it. Titles are cleaned of numbers
+    and part words, and are really different if neither contains the other. Titles that contain each other
+    form a chain by length, so neighbours decide and no pairs are listed.
+    ``df``: id, doi, doc_type, title_normalized, canonical_doi, same_work (both nullable).
     """
-    g = df.where("doi is not null").groupBy("doi").agg(
-        F.min("canonical_doi").alias("canon"), F.bool_or(F.col("doc_type") == "book").alias("book"), F.bool_or(F.col("doc_type") == "book_chapter").alias("chapter"),
-        F.bool_and(F.coalesce(F.col("doc_type") == "book_chapter", F.lit(False))).alias("only"), F.count_distinct(F.lower(F.trim("title"))).alias("titles"),
+    d = df.where("doi is not null").select("id", "doi", "doc_type", "canonical_doi", "same_work", chapter_title(F.col("title_normalized")).alias("t"))
+    is_chapter = F.coalesce(F.col("doc_type") == "book_chapter", F.lit(False))
+    declared = F.when(F.col("canonical_doi").isNotNull(), F.col("id"))
+    g = d.groupBy("doi").agg(F.min_by(F.struct("canonical_doi", "same_work"), declared).alias("c"), F.bool_or(F.coalesce(F.col("doc_type") == "book", F.lit(False))).alias("book"), F.bool_or(is_chapter).alias("chapter"))
+    titles = d.where(is_chapter & (F.col("t") != "")).select("doi", "t").distinct()
+    before = F.lag("t").over(Window.partitionBy("doi").orderBy(F.length("t"), "t"))
+    apart = titles.withColumn("before", before).where("before is not null and not contains(t, before)").select("doi").distinct().withColumn("apart", F.lit(True))
+    case = (
+        F.when(F.col("c.same_work").isNotNull(), F.col("c.same_work")).when(F.col("book") & F.col("chapter"), "book_and_chapters")
+        .when(F.col("chapter") & ~F.col("book") & F.coalesce("apart", F.lit(False)), "chapters")
     )
-    case = F.when(F.col("canon").isNotNull(), "canonical").when(F.col("book") & F.col("chapter"), "book_and_chapters").when(F.col("only") & (F.col("titles") >= 2), "chapters")
-    hit = df.join(g.withColumn("case", case).where("case is not null"), "doi").where((F.col("case") == "canonical") | (F.col("doc_type") == "book_chapter"))
-    return hit.select("id", F.when(F.col("case") == "canonical", F.col("canon")).alias("new_doi"), "case")
+    g = g.join(apart, "doi", "left").select("doi", F.col("c.canonical_doi").alias("target"), F.col("c.same_work").isNotNull().alias("converges"), case.alias("case")).where("case is not null")
+    hit = lookup(d.select("id", "doi", is_chapter.alias("is_chapter")), g, "doi").where("case is not null and (converges or is_chapter)")
+    return hit.select("id", F.when(F.col("converges"), F.col("target")).alias("new_doi"), "case")

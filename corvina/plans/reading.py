@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvina.functions.text import normalize_text
 from corvina.operators import aggregates as A
 from corvina.operators import filters as P
-from corvina.operators import nested as NE
 from corvina.operators import resolution as R
 from corvina.session import table as T
+from corvina.plans.resolving import DUPLICATES_SQL, _relations
+from corvina.sources import normalize as NZ
 from corvina.sources.io import csv_rows, mark_done
 from corvina.streaming.staging import windowed_counts
 
@@ -49,24 +49,9 @@ def q2b(spark, d):
     return T(spark, d, "source_authorships").select("id").join(x, "id").groupBy("id").agg(F.count_distinct("address_id").alias("n"), A.sorted_set(F.col("address_id")).alias("addresses"))
 
 
-INVERSE = {"is_preprint_of": "has_preprint", "is_correction_of": "has_correction", "is_supplement_to": "has_supplement", "is_part_of": "has_part", "is_related_to": "is_related_to"}
-
-
 @query("Q3_relations_both_ways")
 def q3(spark, d):
-    sp = T(spark, d, "source_publications")
-    r = R.shared_key_relations(sp, R.confirmation_keys(sp).where("type in ('nnt', 'pmid', 'hal_id')"))
-    inverse = F.create_map(*[F.lit(x) for kv in INVERSE.items() for x in kv])
-    return r.unionByName(r.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.try_element_at(inverse, F.col("type")).alias("type")))
-
-
-@query("E19_declared_relations", """SELECT a.id AS source_id, min(b.id) AS target_id, d AS target_doi, 'is_related_to' AS type FROM (SELECT id, unnest(from_json(json_extract(external_ids, '$.related_dois'), '["VARCHAR"]')) AS d FROM source_publications) a LEFT JOIN source_publications b ON b.doi = a.d AND b.id <> a.id GROUP BY 1, 3""")
-def e19(spark, d):
-    sp = T(spark, d, "source_publications").select("id", "doi", "external_ids")
-    a = sp.select(F.col("id").alias("source_id"), F.explode(F.from_json(F.get_json_object("external_ids", "$.related_dois"), "array<string>")).alias("target_doi"))
-    b = sp.where("doi is not null").select(F.col("id").alias("t"), F.col("doi").alias("target_doi"))
-    j = a.join(b, "target_doi", "left").where("t is null or t <> source_id").groupBy("source_id", "target_doi").agg(F.min("t").alias("target_id"))
-    return a.distinct().join(j, ["source_id", "target_doi"], "left").select("source_id", "target_id", "target_doi", F.lit("is_related_to").alias("type"))
+    return R.both_ways(_relations(spark, d).where("target_id is not null"))
 
 
 @query("Q4_external_ids", """WITH k AS (SELECT publication_id, unnest(['pmid','nnt']) AS kind, external_ids, source FROM source_publications WHERE publication_id IS NOT NULL), v AS (SELECT publication_id, kind, json_extract_string(external_ids, '$.' || kind) AS value, source FROM k)
@@ -85,10 +70,9 @@ def q5(spark, d):
     return w.where("length(subject) > 6").groupBy("publication_id", "subject").agg(A.sorted_set(F.col("source")).alias("sources"))
 
 
-@query("Q6_next_duplicate", """WITH s AS (SELECT id, source, title_normalized AS t, pub_year AS y, doi FROM source_publications WHERE length(title_normalized) > 30 AND NOT coalesce(doc_type IN ('peer_review','memoir'), false))
-SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.t = b.t AND a.y = b.y AND a.id < b.id AND a.source <> b.source AND (a.doi IS NULL OR b.doi IS NULL OR a.doi = b.doi) ORDER BY 1, 2 LIMIT 1 OFFSET 5""")
+@query("Q6_next_duplicate", f"WITH {DUPLICATES_SQL} SELECT * FROM dup ORDER BY 1, 2 LIMIT 1 OFFSET 5")
 def q6(spark, d):
-    return R.duplicate_pairs(T(spark, d, "source_publications")).orderBy("id_a", "id_b").offset(5).limit(1)
+    return R.duplicate_pairs(R.survivors(T(spark, d, "source_publications"))).orderBy("id_a", "id_b").offset(5).limit(1)
 
 
 @query("Q7_autocomplete", "SELECT DISTINCT name_form FROM person_name_forms WHERE contains(name_form, 'mar') AND contains(name_form, 'de') ORDER BY 1 LIMIT 20")
@@ -219,27 +203,46 @@ def s19(spark, d):
     return csv_rows(sp, {"id": F.col("id"), "title": F.col("title_normalized"), "year": F.col("pub_year")})
 
 
-WOS_OK = "source = 'wos' AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT'"
+RECORDS = ("id", "source", "source_id", "doi", "title", "pub_year", "doc_type", "oa_status", "language", "container_title", "publisher")
 
 
-@query("E31_normalize_openalex", """SELECT id, json_extract_string(raw_data, '$.title') AS title, (json_extract_string(raw_data, '$.publication_year'))::int AS pub_year FROM staging WHERE source = 'openalex' AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT' AND json_extract_string(raw_data, '$.title') IS NOT NULL""")
+@query("E31_normalize_openalex", """WITH p AS (SELECT id, raw_data AS r FROM staging WHERE source = 'openalex' AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT') SELECT id, regexp_extract(r ->> '$.id', '[^/]*$') AS source_id, coalesce(nullif(trim(r ->> '$.title'), ''), nullif(trim(r ->> '$.display_name'), '')) AS title, try_cast(r ->> '$.publication_year' AS int) AS pub_year, coalesce((r ->> '$.is_retracted')::boolean, false) AS is_retracted
+FROM p WHERE r ->> '$.id' IS NOT NULL""")
 def e31(spark, d):
-    st = T(spark, d, "staging").where("source = 'openalex'").select("id", "raw_data")
-    # get_json_object reads the head of a cut payload; the whole must parse.
-    v = st.where(F.try_parse_json("raw_data").isNotNull())
-    return v.select("id", F.get_json_object("raw_data", "$.title").alias("title"), F.get_json_object("raw_data", "$.publication_year").cast("int").alias("pub_year")).where("title is not null")
+    r = NZ.normalise(T(spark, d, "staging"), ["openalex"], F.lit("2025-01-01").cast("date"))
+    return r.select("id", "source_id", "title", "pub_year", "is_retracted")
+
+
+@query("E31_openalex_locations", """WITH p AS (SELECT id, raw_data AS r FROM staging WHERE source = 'openalex' AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT' AND raw_data ->> '$.id' IS NOT NULL), l AS (SELECT id, unnest(CASE json_type(r, '$.locations') WHEN 'ARRAY' THEN from_json(json_extract(r, '$.locations'), '["JSON"]') WHEN 'OBJECT' THEN [json_extract(r, '$.locations')] ELSE [] END) AS x FROM p),
+u AS (SELECT DISTINCT id, unnest([x ->> '$.landing_page_url', x ->> '$.pdf_url']) AS url FROM l WHERE json_type(x) = 'OBJECT') SELECT id, url FROM u WHERE url <> ''""")
+def e31c(spark, d):
+    """The pages and files of all locations, one row each."""
+    r = NZ.normalise(T(spark, d, "staging"), ["openalex"], F.lit("2025-01-01").cast("date"))
+    return r.select("id", F.explode("urls").alias("url"))
 
 
-@query("E31_normalize_wos")
+WOS_SQL = """p AS (SELECT id, doi, raw_data AS r FROM staging WHERE source = 'wos' AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT' AND nullif(trim(raw_data ->> '$.UID'), '') IS NOT NULL), tt AS (SELECT id, unnest(CASE json_type(r, '$.static_data.summary.titles.title') WHEN 'ARRAY' THEN from_json(json_extract(r, '$.static_data.summary.titles.title'), '["JSON"]') WHEN 'OBJECT' THEN [json_extract(r, '$.static_data.summary.titles.title')] ELSE [] END) AS x, generate_subscripts(CASE json_type(r, '$.static_data.summary.titles.title') WHEN 'ARRAY' THEN from_json(json_extract(r, '$.static_data.summary.titles.title'), '["JSON"]') ELSE [json_extract(r, '$.static_data.summary.titles.title')] END, 1) AS n FROM p),
+ti AS (SELECT id, arg_min(coalesce(x ->> '$.content', ''), n) FILTER (x ->> '$.type' = 'item') AS item, arg_min(coalesce(x ->> '$.content', ''), n) FILTER (x ->> '$.type' = 'source') AS src FROM tt GROUP BY 1)"""
+
+
+@query("E31_normalize_wos", f"""WITH {WOS_SQL} SELECT p.id, trim(r ->> '$.UID') AS source_id, coalesce(nullif(trim(item), ''), '(sans titre)') AS title, nullif(trim(src), '') AS container_title, try_cast(trim(r ->> '$.static_data.summary.pub_info.pubyear') AS int) AS pub_year FROM p LEFT JOIN ti ON ti.id = p.id""")
 def e31b(spark, d):
-    """(record_id, title, container_title, authors) of each readable payload, from its flat tables."""
-    st = T(spark, d, "staging").where("source = 'wos'").select("id", "raw_data")
-    t = NE.triples(st, "id", "raw_data", groups=[NE.TITLE, NE.NAME], rels=["type", "content", "display_name"])
-    titles = NE.pivot_group(t, NE.TITLE, {"kind_of": "type", "content": "content"})
-    names = NE.pivot_group(t, NE.NAME, {"name": "display_name"})
-    by = titles.groupBy("record_id").agg(F.min(F.when(F.col("kind_of") == "item", F.col("content"))).alias("title"), F.min(F.when(F.col("kind_of") == "source", F.col("content"))).alias("container_title"))
-    authors = names.where("name is not null").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("authors"))
-    return by.join(authors, "record_id", "left").withColumn("title_normalized", normalize_text(F.col("title")))
+    r = NZ.normalise(T(spark, d, "staging"), ["wos"], F.lit("2025-01-01").cast("date"))
+    return r.select("id", "source_id", "title", "container_title", "pub_year")
+
+
+@query("E31_wos_authors")
+def e31d(spark, d):
+    """Authors of wos payloads with their addresses, one row each."""
+    r = NZ.normalise(T(spark, d, "staging"), ["wos"], F.lit("2025-01-01").cast("date"))
+    return r.select("id", F.explode("authors").alias("a")).select("id", "a.position", "a.raw_name", "a.roles", "a.is_corresponding", F.map_keys("a.ids").alias("id_kinds"), "a.addresses")
+
+
+@query("E33_normalised_subjects")
+def e33b(spark, d):
+    """Subjects of all normalised payloads with their use."""
+    s = NZ.subjects(NZ.normalise(T(spark, d, "staging"), ["openalex", "wos"], F.lit("2025-01-01").cast("date")))
+    return s.groupBy("label").agg(F.count_distinct("id").alias("n"))
 
 
 @query("T_windowed_counts", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2")

@@ -253,7 +253,7 @@ def j7(spark, d):
 
 
 SUFFIX_SQL = """WITH t AS (SELECT id, title_normalized AS t, pub_year AS y FROM source_publications WHERE length(title_normalized) > 30),
-m AS (SELECT DISTINCT c.id AS child, p.t AS parent FROM t c JOIN t p ON (c.t = p.t OR ends_with(c.t, ' ' || p.t)) AND c.t <> p.t AND p.y BETWEEN c.y - 2 AND c.y)
+m AS (SELECT DISTINCT c.id AS child, p.t AS parent FROM t c JOIN t p ON ends_with(c.t, p.t) AND c.t <> p.t AND p.y BETWEEN c.y - 2 AND c.y)
 SELECT child, min(parent) AS parent FROM m GROUP BY child HAVING count(DISTINCT parent) = 1"""
 
 
@@ -261,16 +261,17 @@ SELECT child, min(parent) AS parent FROM m GROUP BY child HAVING count(DISTINCT
 def j8(spark, d):
     t = T(spark, d, "source_publications").where(F.length("title_normalized") > 30).select("id", F.col("title_normalized").alias("t"), F.col("pub_year").alias("y"))
     p = t.select(F.col("t").alias("parent"), F.col("y").alias("py")).distinct()
-    m = J.suffix_join(t.withColumnRenamed("id", "child"), "t", p, "parent").where("t <> parent and py between y - 2 and y")
+    m = J.suffix_join(t.withColumnRenamed("id", "child"), "t", p, "parent", 31).where("t <> parent and py between y - 2 and y")
     return J.unique_match(m, "child", "parent")
 
 
-@query("J9_range_join", """SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey
-AND date_diff('day', date '1970-01-01', b.o_orderdate::date) BETWEEN date_diff('day', date '1970-01-01', a.o_orderdate::date) AND date_diff('day', date '1970-01-01', a.o_orderdate::date) + 30""")
+@query("J9_range_join", """SELECT a.id AS a, b.id AS b FROM source_publications a JOIN source_publications b ON a.title_normalized = b.title_normalized AND a.id <> b.id AND b.pub_year BETWEEN a.pub_year AND a.pub_year + 2 WHERE a.doc_type = 'preprint' AND coalesce(b.doc_type, '') <> 'preprint' AND length(a.title_normalized) > 30""")
 def j9(spark, d):
-    o = T(spark, d, "orders").select("o_orderkey", "o_custkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"))
-    a, b = o.toDF("a", "o_custkey", "da"), o.toDF("b", "o_custkey", "db")
-    return J.range_join(a, b, "o_custkey", "da", "db", 0, 30).where("a <> b").select("a", "b")
+    """Preprints and records of the same title published within two years after them."""
+    t = T(spark, d, "source_publications").where(F.length("title_normalized") > 30).select("id", "title_normalized", "pub_year", "doc_type")
+    a = t.where("doc_type = 'preprint'").select(F.col("id").alias("a"), "title_normalized", F.col("pub_year").alias("ya"))
+    b = t.where("coalesce(doc_type, '') <> 'preprint'").select(F.col("id").alias("b"), "title_normalized", F.col("pub_year").alias("yb"))
+    return J.range_join(a, b, "title_normalized", "ya", "yb", 0, 2).where("a <> b").select("a", "b")
 
 
 @query("J10_element_join", """SELECT a.r AS element, count(*) AS n FROM (SELECT DISTINCT id, unnest(countries) AS r FROM addresses) a JOIN (SELECT DISTINCT id, unnest(countries) AS r FROM addresses WHERE countries_dirty) b ON a.r = b.r AND a.id <> b.id GROUP BY 1""")

@@ -39,10 +39,29 @@ def csv_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
-    """A CSV directory with a header; a byte order mark, if wanted, in the first column's name, for spreadsheets."""
-    if bom and df.columns:
-        df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    """One CSV file with a header line, all texts quoted; the first bytes are a byte order mark if wanted, for spreadsheets.
+
+    The rows are written in parts by the executors; the file is the mark, the header and the parts in order,
+    put together as a stream of bytes, so nothing is held whole. An empty table gives the header alone.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    fs = target.getFileSystem(conf)
+    df.write.mode("overwrite").option("header", False).option("quoteAll", True).option("emptyValue", "").csv(f"{path}.parts")
+    quoted = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray((("\ufeff" if bom else "") + quoted + "\n").encode("utf-8")))
+        names = sorted(s.getPath().getName() for s in fs.listStatus(parts))
+        for name in (n for n in names if n.startswith("part-")):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(parts, True)
 
 
 class RawStore:
@@ -53,11 +72,17 @@ class RawStore:
 
     def put(self, df: DataFrame) -> None:
         """``df``: source, source_id, raw_data."""
-        df.select("source", "source_id", "raw_data", F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("source").parquet(self.path)
+        df.select("source", "source_id", "raw_data", F.md5("raw_data").alias("raw_hash"), F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("source").parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        """(source, source_id, stored_at, raw_hash) of the payload that counts for each key; payloads themselves aren't read."""
+        t = self.spark.read.parquet(self.path).select("source", "source_id", "stored_at", "raw_hash")
+        return t.groupBy("source", "source_id").agg(F.max(F.struct("stored_at", "raw_hash")).alias("m")).select("source", "source_id", "m.stored_at", "m.raw_hash")
 
     def read(self) -> DataFrame:
-        t = self.spark.read.parquet(self.path)
-        return t.groupBy("source", "source_id").agg(F.max_by("raw_data", F.struct("stored_at", F.md5("raw_data"))).alias("raw_data"))
+        """(source, source_id, raw_data): the keys are decided first, so only payloads that count are shuffled."""
+        key = ["source", "source_id", "stored_at", "raw_hash"]
+        return self.spark.read.parquet(self.path).join(self.latest(), key, "left_semi").dropDuplicates(key).select("source", "source_id", "raw_data")
 
     def get(self, keys: DataFrame) -> DataFrame:
         return self.read().join(keys.select("source", "source_id").distinct(), ["source", "source_id"], "left_semi")
@@ -68,7 +93,12 @@ class RawStore:
 
     def orphans(self, staging: DataFrame) -> DataFrame:
         """Stored payloads whose record is gone from staging."""
-        return self.read().select("source", "source_id").join(staging.select("source", "source_id"), ["source", "source_id"], "left_anti")
+        return self.latest().select("source", "source_id").join(staging.select("source", "source_id"), ["source", "source_id"], "left_anti")
+
+    def lacking(self, staging: DataFrame) -> DataFrame:
+        """Staging records whose payload was emptied and isn't stored: what a restore can't bring back."""
+        gone = staging.where("raw_data is null or trim(raw_data) in ('', '{}')").select("source", "source_id").distinct()
+        return gone.join(self.latest().select("source", "source_id"), ["source", "source_id"], "left_anti")
 
 
 def mark_done(staging: DataFrame, done: DataFrame) -> DataFrame:

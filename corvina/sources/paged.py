@@ -1,8 +1,8 @@
-"""Paged extraction as a Python data source: one input partition a slice of pages.
+"""Pages of JSON lines files as a Python data source: one input partition a slice of pages.
 
-The reader is transport-free: ``fetch(page, options)`` is a picklable function given by the caller; the
-built-in one reads pages from a directory of JSON lines files, so the source works without a network.
-A circuit breaker ends a slice after ``max_failures`` consecutive failures.
+The folder must be one that driver and executors share. ``fetch(page, options)`` is a picklable function.
+A page that can't be read is retried, and after ``max_failures`` failures the read raises, so that a partial
+result is never taken for a whole one.
 """
 
 from __future__ import annotations
@@ -45,16 +45,17 @@ class PagedReader(DataSourceReader):
         return [Pages(pages[i::n]) for i in range(n)]
 
     def read(self, partition: Pages):
-        failures, most = 0, int(self.options.get("max_failures", "3"))
+        most = int(self.options.get("max_failures", "3"))
         for page in partition.pages:
-            try:
-                for ident, raw in self.fetch(page, self.options):
-                    yield self.options.get("source", ""), ident, raw
-                failures = 0
-            except OSError:
-                failures += 1
-                if failures >= most:
-                    return
+            for attempt in range(1, most + 1):
+                try:
+                    rows = list(self.fetch(page, self.options))  # one page
+                    break
+                except OSError as e:
+                    if attempt == most:
+                        raise RuntimeError(f"page {page} failed {most} times") from e
+            for ident, raw in rows:
+                yield self.options.get("source", ""), ident, raw
 
 
 class PagedSource(DataSource):

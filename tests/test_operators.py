@@ -92,10 +92,109 @@ def test_resolution(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id bigint, label bigint")
     dois = spark.createDataFrame([(1, "a"), (2, "b"), (4, "a")], "id bigint, doi string")
     assert rows(R.cannot_link(labels, dois)) == [(1, 1, "a"), (2, 1, "b"), (3, 1, None), (4, 4, "")]
-    m = spark.createDataFrame([(1, 1, "", 10, "x", "x"), (2, 1, "", 20, None, None)], "id bigint, label bigint, part string, publication_id bigint, publication_doi string, doi string")
-    kept = R.claims(m)
-    assert [(r.anchor, r.action) for r in kept.collect()] == [(10, "keep")]
+    s = "id bigint, label bigint, part string, publication_id bigint, publication_doi string, doi string, in_perimeter boolean, title_normalized string, pub_year int"
+    m = spark.createDataFrame(
+        [
+            (1, 1, "", 10, "x", "x", False, "t", 2000), (2, 1, "", 20, None, None, False, "t", 2000),  # 20 gives way to the carrier of the DOI
+            (3, 3, "p", 30, "p", "p", False, "t", 2000), (4, 3, "q", 30, "p", "q", False, "t", 2000), (5, 3, "q", 50, None, "q", True, "t", 2000),  # the loser of 30 gets a new one, not 50
+            (6, 6, "", None, None, None, True, "t", 2000), (7, 7, "", None, None, None, False, "t", 2000), (8, 8, "", None, None, None, True, None, 2000),  # create, outside, without title
+            (9, 9, "u", 90, None, "u", False, "t", 2000), (10, 9, None, 91, None, None, False, "t", 2000), (11, 9, "w", None, None, "w", False, "t", 2000),  # 91 is residual
+        ],
+        s,
+    )
+    kept = R.claims(m, spark.createDataFrame([("w", 77)], "doi string, publication_id bigint"))
+    assert {(r.first, r.anchor, r.action) for r in kept.collect()} == {(1, 10, "keep"), (3, 30, "keep"), (4, None, "create"), (6, None, "create"), (9, 90, "keep"), (11, 77, "keep")}
     assert rows(R.dissolved(m, kept)) == [(20, 10)]
+    assert rows(R.claims(m.where("false"))) == []
+
+
+def test_survivors(spark):
+    s = "id bigint, source string, publication_id bigint, title string, doi string, doc_type string, pub_year int, oa_status string, is_retracted boolean, keywords array<string>, biblio string, topics string"
+    data = [
+        (1, "hal", 1, None, None, "review", 2001, "green", None, ["Soil", "Rock"], '{"volume": "1", "page": "7"}', "a"), (2, "crossref", 1, "T", "d", "article", None, None, False, ["rock", None, "Ice"], '{"volume": "2"}', None),
+        (3, "wos", 1, "U", None, None, 1999, "closed", True, None, "broken", "c"), (4, "wos", 2, None, None, None, None, None, None, None, None, None), (5, "hal", None, "x", None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(data, s)
+    got = {r.publication_id: r for r in R.survivors(df).collect()}
+    assert set(got) == {1, 2}
+    r = got[1]
+    assert (r.title, r.doi, r.doc_type, r.pub_year, r.oa_status, r.is_retracted) == ("T", "d", "review", 2001, "green", True)
+    assert r.keywords == ["rock", "Ice", "Soil"] and r.biblio == {"volume": "2", "page": "7"} and r.topics == {"hal": "a", "wos": "c"}
+    assert (got[2].doc_type, got[2].oa_status, got[2].keywords) == ("other", "unknown", None)
+    first = {r.publication_id: r.title for r in R.survivors(df, secondary=F.col("source") == "crossref").collect()}
+    assert first[1] == "U"
+    checked = spark.createDataFrame([(1, "closed"), (2, "bronze")], "publication_id bigint, oa_status string")
+    assert {r.publication_id: r.oa_status for r in R.survivors(df, checked=checked).collect()} == {1: "green", 2: "bronze"}
+    assert R.survivors(df.where("false")).count() == 0
+
+
+def test_relations(spark):
+    pubs = spark.createDataFrame(
+        [(1, "erratum", "a"), (2, "preprint", "b"), (3, "book", "c"), (4, "book_chapter", "d"), (5, "article", "e"), (6, "article", "f"), (7, "peer_review", "g"), (8, "article", None), (9, "article", "E")], "publication_id bigint, doc_type string, doi string"
+    )
+    keys = spark.createDataFrame([(1, "pmid", "1"), (2, "pmid", "1"), (3, "nnt", "2"), (4, "nnt", "2"), (5, "pmid", "3"), (6, "pmid", "3"), (7, "pmid", "3"), (8, "pmid", "3"), (5, "hal_id", "9"), (9, "hal_id", "9"), (None, "pmid", "3"), (5, "pmid", None)], "publication_id bigint, type string, value string")
+    shared = R.shared_key_relations(pubs, keys)
+    assert rows(shared) == [(2, 1, "is_preprint_of"), (4, 3, "is_part_of"), (5, 6, "is_related_to")]
+    meta = spark.createDataFrame(
+        [
+            (1, "datacite", '{"related_identifiers": [{"doi": "https://doi.org/10.5555/M", "relation_type": "IsSupplementTo"}, {"doi": "10.5555/n", "relation_type": "Cites"}, {"doi": null, "relation_type": "IsPartOf"}]}'),
+            (2, "crossref", '{"relation": {"is-preprint-of": [{"id": "10.5555/m", "id-type": "doi"}, {"id": "x", "id-type": "uri"}], "has-review": [{"id": "10.5555/q", "id-type": "doi"}], "is-part-of": [{"id": "10.5555/n", "id-type": "doi"}]}}'),
+            (3, "datacite", "broken"), (4, "datacite", None), (None, "datacite", '{"related_identifiers": [{"doi": "10.5555/m", "relation_type": "HasPart"}]}'),
+        ],
+        "publication_id bigint, source string, meta string",
+    )
+    declared = R.declared_relations(meta)
+    assert rows(declared) == [(1, "10.5555/m", "is_supplement_to"), (2, "10.5555/m", "is_preprint_of"), (2, "10.5555/n", "describes")]
+    base = "measuring the slow drift of the northern shore"
+    titles = spark.createDataFrame(
+        [(1, "erratum", "erratum to " + base, 2010), (2, "article", base, 2009), (3, "preprint", base, 2009), (4, "article", base, 1990), (5, "erratum", "xx" + base, 2009), (6, "article", "short", 2010), (7, "erratum", "erratum short", 2010), (8, "erratum", None, 2010), (9, "dataset", base, 2009)],
+        "publication_id bigint, doc_type string, title_normalized string, pub_year int",
+    )
+    assert rows(R.title_relations(titles)) == [(1, 2, "is_correction_of"), (3, 2, "is_preprint_of"), (5, 2, "is_correction_of")]
+    known = spark.createDataFrame([(5, "10.5555/M"), (6, "10.5555/n")], "publication_id bigint, doi string")
+    more = spark.createDataFrame([(5, "10.5555/n", "is_part_of"), (5, "10.5555/m", "is_part_of"), (5, "10.5555/far", "has_part")], "source_id bigint, target_doi string, type string")
+    got = rows(R.rebuild_relations(more, shared, R.title_relations(titles.where("false")), known))
+    assert got == sorted([(2, 1, None, "is_preprint_of", 1), (4, 3, None, "is_part_of", 1), (5, 6, "10.5555/n", "is_part_of", 0), (5, None, "10.5555/far", "has_part", 0)], key=repr)
+    assert (6, 5, "has_part") in rows(R.both_ways(R.rebuild_relations(more, shared, R.title_relations(titles.where("false")), known)))
+
+
+def test_duplicate_publications(spark):
+    t = "measuring the slow drift of the northern shore"
+    data = [
+        (1, t, None, "article", ["hal"]), (2, t, None, "article", ["wos"]), (3, t, "10.5555/a", "article", ["scanr"]), (4, t, "10.5555/b", "article", ["scanr"]), (5, t, None, "conference_paper", ["crossref"]), (6, t, None, "book", ["hal", "wos"]),
+        (7, "short", None, "article", ["hal"]), (8, "short", None, "article", ["wos"]), (9, None, None, None, None), (10, t, "10.5281/zenodo.1", "dataset", ["datacite"]), (11, t, "10.5281/zenodo.2", "dataset", ["datacite"]),
+    ]
+    pubs = spark.createDataFrame(data, "publication_id bigint, title_normalized string, doi string, doc_type string, sources array<string>")
+    apart = spark.createDataFrame([(2, 1)], "id_a bigint, id_b bigint")
+    got = set(rows(R.duplicate_pairs(pubs, apart)))
+    assert {(1, 3), (1, 4), (2, 3), (10, 11), (5, 6), (1, 10)} <= got
+    assert not got & {(1, 2), (3, 4), (1, 5), (1, 6), (2, 6), (7, 8), (3, 10)}
+
+
+def test_doi_clusters(spark):
+    data = [
+        (1, "a", "book", "the book", None, None), (2, "a", "book_chapter", "x", None, None), (3, "b", "book_chapter", "chapter 14 soil water", None, None), (4, "b", "book_chapter", "soil water", None, None), (5, "c", "book_chapter", "soil", None, None),
+        (6, "c", "book_chapter", "rock", None, None), (7, "c", "article", "other", None, None), (8, "d", "article", "v", "z", "version_to_concept"), (9, "d", None, None, None, None), (10, None, "book_chapter", "q", None, None), (11, "e", "article", "v", "z", None),
+    ]
+    df = spark.createDataFrame(data, "id bigint, doi string, doc_type string, title_normalized string, canonical_doi string, same_work string")
+    assert rows(RU.correct_clusters(df)) == sorted([(2, None, "book_and_chapters"), (5, None, "chapters"), (6, None, "chapters"), (8, "z", "version_to_concept"), (9, "z", "version_to_concept")], key=repr)
+    meta = '{"related_identifiers": [{"doi": "%s", "relation_type": "%s"}]}'
+    rec = [("datacite", "a", "dataset", meta % ("B", "IsPartOf")), ("hal", "b", "dataset", None), ("datacite", "c", "dataset", meta % ("nowhere", "IsPartOf")), ("datacite", "d", "article", meta % ("e", "IsVersionOf")), ("datacite", "f", "article", meta % ("F", "IsVariantFormOf")), ("crossref", "g", None, meta % ("e", "IsVersionOf"))]
+    assert rows(RU.same_work(spark.createDataFrame(rec, "source string, doi string, doc_type string, meta string"))) == [("a", "b", "package_piece"), ("d", "e", "version_to_concept")]
+
+
+def test_hot_keys_and_class_pairs(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(600)] + [(999, None)], "i bigint, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v bigint")
+    got = {r.i: r.v for r in G.lookup(left, right, "k").collect()}
+    assert len(got) == 601 and got[1] == 1 and got[3] == 2 and got[6] is None and got[999] is None
+    m = spark.createDataFrame([("c", i) for i in range(60)] + [("d", 1), ("c", 5)], "c string, i bigint")
+    old, G.BLOCK = G.BLOCK, 7
+    try:
+        pairs = rows(G.class_pairs(m, "c", "i"))
+    finally:
+        G.BLOCK = old
+    assert len(pairs) == len(set(pairs)) == 60 * 59 // 2
 
 
 def test_matching(spark):
@@ -129,7 +228,7 @@ def test_delta_takes_all_links(spark, tmp_path):
     }
     for name, df in tables.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    assert rows(QUERIES["E9_detection_delta_all"](spark, str(tmp_path))) == [(1, "unflag"), (2, "delete"), (3, "keep"), (4, "insert")]
+    assert rows(QUERIES["E9_detection_delta"](spark, str(tmp_path))) == [(1, "unflag"), (2, "delete"), (3, "keep"), (4, "insert")]
 
 
 def test_persons(spark):
@@ -140,6 +239,38 @@ def test_persons(spark):
     assert rows(PE.cascade([a, b], "sig")) == [(1, 7, "orcid"), (2, 8, "name_form")]
 
 
+def test_person_cascade(spark):
+    s = "id bigint, source string, publication_id bigint, author_position int, name string, raw_name string, in_perimeter boolean, roles array<string>, person_id bigint, orcid string, hal_person_id string, idref string"
+    data = [
+        (1, "crossref", 1, 0, "ines zubo", "Ines Zubo", False, ["author"], None, "o1", None, None),  # ORCID, name agrees
+        (2, "wos", 1, 0, "i zubo", "Zubo, I.", False, ["author"], None, "o1", None, None),  # its ORCID doesn't count, the place does: 1 is an anchor
+        (3, "crossref", 2, 0, "karl mora", "Karl Mora", False, ["author"], None, "o1", None, None),  # another name
+        (4, "crossref", 2, 1, "rita fau", "Rita Fau", False, ["author"], None, "o1", None, None),  # confirmed by hand
+        (5, "hal", 3, 0, "ines zubo", "Ines Zubo", True, ["author"], None, None, None, None),  # rejected for this publication
+        (6, "hal", 4, 0, "luz diaz", "Luz Diaz", True, ["author"], None, None, None, None),  # two persons
+        (7, "hal", 5, 0, "luz diaz", "Luz Diaz", True, ["author"], None, None, None, None),  # one of them rejected here
+        (8, "hal", 6, 0, "nova person", "Nova Person", True, ["author"], None, None, None, None), (9, "theses", 6, None, "nova juror", "N Juror", True, ["rapporteur"], None, None, None, None),
+        (10, "hal", 7, 0, "kim loo", "Kim Loo", False, ["author"], None, None, "h9", "r1"), (11, "hal", 8, 0, "kim loo", "Kim Loo", True, ["author"], 3, None, None, None), (12, "hal", 9, 0, None, None, True, None, None, None, None, None),
+    ]
+    sigs = spark.createDataFrame(data, s)
+    own = "value string, person_id bigint, last string, first string"
+    owners = {"orcid": spark.createDataFrame([("o1", 1, "zubo", "ines")], own), "hal_person_id": spark.createDataFrame([("h9", 3, "loo", "kim")], own), "idref": spark.createDataFrame([("r1", 4, "loo", "kim")], own)}
+    forms = spark.createDataFrame([("rita fau", 1, "confirmed"), ("ines zubo", 1, "pending"), ("luz diaz", 5, "pending"), ("luz diaz", 6, "confirmed"), ("nova person", 9, "rejected")], "name_form string, person_id bigint, status string")
+    rejected = spark.createDataFrame([(3, 1), (5, 5)], "publication_id bigint, person_id bigint")
+    got = {r.id: (r.action, r.person_id, r.reason, r.new_key) for r in PE.match_persons(sigs, owners, forms, rejected).collect()}
+    assert got == {
+        1: ("match", 1, "orcid", None), 2: ("match", 1, "cross_source", None), 3: ("skip", None, "out_of_perimeter", None), 4: ("match", 1, "orcid", None), 5: ("skip", None, "ambiguous_name_form", None),
+        6: ("skip", None, "ambiguous_name_form", None), 7: ("match", 6, "single_name", None), 8: ("create", None, "new", "nova person"), 9: ("skip", None, "creation_not_allowed", None), 10: ("match", 3, "hal_person_id", None),
+        12: ("create", None, "new", None),
+    }
+    assert PE.match_persons(sigs.where("false"), owners, forms, rejected).count() == 0
+
+
+def test_shared_identifiers_are_marked(spark):
+    d = spark.createDataFrame([(1, 1, {"orcid": "a", "idref": "x"}), (2, 1, {"orcid": "a"}), (3, 2, {"orcid": "a"}), (4, 2, None)], "id bigint, rec bigint, ids map<string,string>")
+    assert {r.id: r.ids for r in PE.mark_dubious(d, "rec", "id", "ids").collect()} == {1: {"orcid_dubious": "a", "idref": "x"}, 2: {"orcid_dubious": "a"}, 3: {"orcid": "a"}, 4: None}
+
+
 def test_duplicate_persons_meet_on_any_shared_word(spark):
     names = ["michel dupont", "m dupont", "dupont michel", "dupont m j", "li w", "wei li", "dupont d", "dupont", "anne dupont", "michel durand", "michel  rare", "m rare", "x", "martin martin", "martin", "m martin", "m dupont"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(99, None)], "id bigint, n string")
@@ -148,8 +279,8 @@ def test_duplicate_persons_meet_on_any_shared_word(spark):
         return a == b or (len(a) == 1 and b.startswith(a)) or (len(b) == 1 and a.startswith(b))
 
     def brute(a, b):
-        s, l = sorted((a.split(" "), b.split(" ")), key=len)
-        shared = {w for w in s if len(w) >= 2} & set(l)
+        s, l = sorted((set(a.split()), set(b.split())), key=len)
+        shared = {w for w in s if len(w) >= 2} & l
         same = len(s) == len(l) and all(any(fits(u, v) for v in s) for u in l)
         return bool(shared) and (all(any(fits(u, v) for v in l) for u in s) or same)
 
@@ -172,6 +303,32 @@ def test_maintenance(spark):
     new = spark.createDataFrame([(1, "x", "a"), (2, "e", "c"), (3, "f", "g")], cols)
     assert rows(M.merge_staging(old, new, ["k"], fill=("doi",))) == [(1, "x", "a", "same"), (2, "d", "c", "update"), (3, "f", "g", "insert"), (4, "z", "q", "old")]
     assert rows(M.changes(old, new, ["k"])) == [(1, 1, 2, 0)]
+    m = spark.createDataFrame([(2, 1), (3, 1)], "old_id bigint, new_id bigint")
+    e = spark.createDataFrame([(1, None, False), (2, "b", True), (3, "c", False), (4, "d", None)], "id bigint, v string, f boolean")
+    assert rows(M.merge_rows(e, "id", m, any_of=("f",))) == [(1, "b", True), (4, "d", None)]
+    pairs = spark.createDataFrame([(1, 2), (2, 4), (3, 4), (4, 5)], "a bigint, b bigint")
+    assert rows(M.repoint_pairs(pairs, "a", "b", m)) == [(1, 4), (4, 5)]
+    sp = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id bigint, publication_id bigint")
+    au = spark.createDataFrame([(1, 7, "own"), (2, 7, "moved"), (3, 8, "new"), (2, None, "none")], "publication_id bigint, person_id bigint, v string")
+    s2, a2, p2 = M.merge_publications(sp, au, pairs.toDF("id_a", "id_b"), m)
+    assert rows(s2) == [(1, 1), (2, 1), (3, None)] and rows(a2) == [(1, 7, "own"), (1, 8, "new"), (1, None, "none")] and rows(p2) == [(1, 4), (4, 5)]
+
+
+def test_journals(spark):
+    j = spark.createDataFrame([(1, "A", "S1", "1111-1111", None, None, None), (2, "B", None, None, "2222-2222", None, 5)], "id bigint, title string, openalex_id string, issn string, eissn string, issnl string, publisher_id bigint")
+    forms = spark.createDataFrame([("a", None, 1), ("b", 5, 2)], "norm string, publisher_id bigint, journal_id bigint")
+    data = [
+        (1, "X", "x", "S1", [], None), (2, "Y", "y", "S9", ["9999-9999", "2222-2222"], 7), (3, "B", "b", None, [], 5), (4, "New ", "new", None, ["3333-3333"], 8), (5, "NEW", "new", None, [], 8), (6, "New", "new", None, [], None), (7, " ", "", None, [], None), (8, None, None, None, None, None),
+    ]
+    r = spark.createDataFrame(data, "rid bigint, title string, norm string, openalex_id string, issns array<string>, publisher_id bigint")
+    got, after, learnt = M.find_or_create_journals(r, j, forms)
+    assert rows(got) == [(1, 1, "openalex_id"), (2, 2, "issn"), (3, 2, "name"), (4, 3, "created"), (5, 3, "created"), (6, 4, "created")]
+    known = {x.id: x for x in after.collect()}
+    assert known[2].openalex_id == "S9" and known[2].issn == "9999-9999" and known[2].publisher_id == 5 and known[3].title == "New" and known[3].issn == "3333-3333"
+    assert ("y", 7, 2) in rows(learnt) and ("new", None, 4) in rows(learnt)
+    dump = spark.createDataFrame([(1, ["0000-0000", "b"], "first"), (2, ["a"], "second"), (3, ["z"], "none")], "row bigint, issns array<string>, fact string")
+    js = spark.createDataFrame([(1, ["a", None]), (2, ["a", "b"]), (3, None)], "id bigint, issns array<string>")
+    assert rows(M.refresh_from_dump(js, dump, ("fact",))) == [(1, True, "second"), (2, True, "first"), (3, False, None)]
 
 
 def test_nested(spark):
