@@ -48,7 +48,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
     fs = target.getFileSystem(conf)
-    df.write.mode("overwrite").option("header", False).option("quoteAll", True).option("emptyValue", "").csv(f"{path}.parts")
+    df.write.mode("overwrite").option("header", False).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(f"{path}.parts")
     quoted = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
     fs.delete(target, True)
     out = fs.create(target, True)

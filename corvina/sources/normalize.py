@@ -248,10 +248,13 @@ def theses(staging: DataFrame, today: Column) -> DataFrame:
     r = lambda n: F.col(f"r.{n}")
     defended, started = iso_date(r("dateSoutenance")), iso_date(r("datePremiereInscriptionDoctorat"))
     spots = F.concat(F.coalesce(texts(F.transform(r("partenairesDeRecherche"), lambda p: p["nom"])), F.array().cast("array<string>")), F.filter(F.array(text(r("etabSoutenanceN"))), lambda x: x.isNotNull()))
-    people = [
-        F.transform(F.coalesce(items(r(f), person[6:-1]) if f == "president" else r(f), F.array().cast(person)), lambda p, i, role=role: F.struct(text(F.concat_ws(" ", text(p["prenom"]), text(p["nom"]))).alias("n"), F.lit(role).alias("role"), (i if role == "author" else F.lit(None)).cast("int").alias("pos"), idref(p["ppn"]).alias("idref")))
-        for f, role in V.THESIS_FIELDS.items()
-    ]
+    def named(f: str, role: str) -> Column:
+        """(n, role, pos, idref) of the persons of a field; only authors have a position."""
+        c = items(r(f), person[6:-1]) if f == "president" else F.coalesce(r(f), F.array().cast(person))
+        at = (lambda i: i) if role == "author" else (lambda i: F.lit(None))
+        return F.transform(c, lambda p, i: F.struct(text(F.concat_ws(" ", text(p["prenom"]), text(p["nom"]))).alias("n"), F.lit(role).alias("role"), at(i).cast("int").alias("pos"), idref(p["ppn"]).alias("idref")))
+
+    people = [named(f, role) for f, role in V.THESIS_FIELDS.items()]
     every = F.filter(F.concat(*people), lambda p: p["n"].isNotNull())
     same = lambda p: F.filter(every, lambda q: (q["n"] == p["n"]) & (q["idref"].isNull() | p["idref"].isNull() | (q["idref"] == p["idref"])))
     once = F.filter(every, lambda p, i: F.size(F.filter(F.slice(every, F.lit(1), i), lambda q: (q["n"] == p["n"]) & (q["idref"].isNull() | p["idref"].isNull() | (q["idref"] == p["idref"])))) == 0)
