@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.session import spread, table
+from corvina.session import Cut, spread, table
 
 TITLE = "static_data.summary.titles.title"
 NAME = "static_data.summary.names.name"
@@ -35,15 +35,16 @@ TRIPLES = "rid bigint, grp string, ords array<int>, rel string, kind string, val
 _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}
 
 
-def read_payload(text: str | None, unwrap: int = 4):
+def read_payload(text: str | None):
     """The JSON object of a payload, or None if it is null or unreadable.
 
-    A text that holds JSON again, or a list of one item, is unwrapped, at most ``unwrap`` times.
+    A text that holds JSON again, or a list of one item, is unwrapped until something else stands there; each
+    step leaves a shorter text, so it ends.
     """
     if text is None:
         return None
     value: object = text
-    for _ in range(unwrap + 1):
+    while True:
         if isinstance(value, str):
             try:
                 value = json.loads(value.lstrip("﻿"))
@@ -52,8 +53,7 @@ def read_payload(text: str | None, unwrap: int = 4):
         elif isinstance(value, list) and len(value) == 1:
             value = value[0]
         else:
-            break
-    return value if isinstance(value, dict) else None
+            return value if isinstance(value, dict) else None
 
 
 def walk(root: dict, repeated: frozenset[str]) -> Iterator[tuple[str, list[int], str, str, str | None]]:
@@ -166,7 +166,8 @@ def children(t: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     st = table(spark, base, "staging").select("id", "raw_data")
-    return children(triples(st, "id", "raw_data", groups=CHILDREN, rels=("", "addr_no", "address_spec.addr_no")))
+    # Written once, so that the payloads are parsed once for the items and both sides of the links.
+    return children(Cut(spark)(triples(st, "id", "raw_data", groups=CHILDREN, rels=("", "addr_no", "address_spec.addr_no"))))
 
 
 def _flat(grp: str, columns: dict[str, str]):
@@ -178,9 +179,46 @@ def _flat(grp: str, columns: dict[str, str]):
     return query
 
 
-p2_titles = _flat(TITLE, {"title_type": "type", "content": "content"})
-p2_names = _flat(NAME, {"seq_no": "seq_no", "role": "role", "display_name": "display_name", "full_name": "full_name", "addr_no": "addr_no", "daisng_id": "daisng_id", "reprint": "reprint"})
-p2_addresses = _flat(ADDRESS, {"addr_no": "address_spec.addr_no", "full_address": "address_spec.full_address", "country": "address_spec.country"})
-p2_organizations = _flat(ORGANIZATION, {"content": "content", "pref": "pref", "ror_id": "ror_id"})
-p2_locations = _flat(LOCATION, {"location_id": "id", "landing_page_url": "landing_page_url", "is_oa": "is_oa", "pdf_url": "pdf_url", "source_id": "source.id", "source_name": "source.display_name"})
-p2_location_sources = _flat(LOCATION_SOURCE, {"source_id": "id", "display_name": "display_name"})
+TABLES = {
+    "titles": (TITLE, {"title_type": "type", "content": "content"}),
+    "names": (NAME, {"seq_no": "seq_no", "role": "role", "display_name": "display_name", "full_name": "full_name", "addr_no": "addr_no", "daisng_id": "daisng_id", "reprint": "reprint"}),
+    "addresses": (ADDRESS, {"addr_no": "address_spec.addr_no", "full_address": "address_spec.full_address", "country": "address_spec.country"}),
+    "organizations": (ORGANIZATION, {"content": "content", "pref": "pref", "ror_id": "ror_id"}),
+    "locations": (LOCATION, {"location_id": "id", "landing_page_url": "landing_page_url", "is_oa": "is_oa", "pdf_url": "pdf_url"}),
+    "location_sources": (LOCATION_SOURCE, {"source_id": "id", "display_name": "display_name"}),
+}
+QUERIES = {"p2_found": p2_found, **{f"p2_{n}": _flat(*x) for n, x in TABLES.items()}}
+
+# The same in SQL: payloads are unwrapped by recursion, and a path's items are listed with their positions.
+_READ = """RECURSIVE u(id, r) AS (SELECT id, ltrim(raw_data, chr(65279)) FROM staging WHERE raw_data IS NOT NULL UNION ALL SELECT id, CASE json_type(r) WHEN 'VARCHAR' THEN ltrim(json_extract_string(r, '$'), chr(65279)) ELSE json_extract(r, '$[0]')::varchar END FROM u WHERE json_valid(r) AND (json_type(r) = 'VARCHAR' OR (json_type(r) = 'ARRAY' AND json_array_length(r) = 1))),
+p AS (SELECT id, r::json AS r FROM u WHERE json_valid(r) AND json_type(r) = 'OBJECT')"""
+
+
+def _items(name: str, source: str, node: str, path: str, keep: str) -> str:
+    """A CTE of the object items at ``path`` below ``node``, with position ``pos``; a single item counts as a list."""
+    many = f"CASE json_type({node}, '{path}') WHEN 'ARRAY' THEN from_json(json_extract({node}, '{path}'), '[\"JSON\"]') WHEN 'NULL' THEN [] ELSE CASE WHEN json_extract({node}, '{path}') IS NULL THEN [] ELSE [json_extract({node}, '{path}')] END END"
+    return f"{name} AS (SELECT * FROM (SELECT {keep}, unnest({many}) AS x, generate_subscripts({many}, 1)::int AS pos FROM {source}) WHERE json_type(x) = 'OBJECT')"
+
+
+def _field(rel: str) -> str:
+    return f"CASE WHEN json_type(x, '$.{rel}') IN ('OBJECT', 'ARRAY') THEN NULL ELSE x ->> '$.{rel}' END"
+
+
+_LISTS = {
+    "titles": [_items("titles", "p", "r", f"$.{TITLE}", "id")],
+    "names": [_items("names", "p", "r", f"$.{NAME}", "id")],
+    "addresses": [_items("addr", "p", "r", f"$.{ADDRESS}", "id")],
+    "organizations": [_items("addr", "p", "r", f"$.{ADDRESS}", "id"), _items("orgs", "addr", "y", "$.address_spec.organizations.organization", "id, up").replace("FROM addr)", "FROM (SELECT id, x AS y, pos AS up FROM addr))")],
+    "locations": [_items("locs", "p", "r", f"$.{LOCATION}", "id")],
+    "location_sources": [_items("locs", "p", "r", f"$.{LOCATION}", "id"), _items("srcs", "locs", "y", "$.source", "id, up").replace("FROM locs)", "FROM (SELECT id, x AS y, pos AS up FROM locs))")],
+}
+_LAST = {"titles": "titles", "names": "names", "addresses": "addr", "organizations": "orgs", "locations": "locs", "location_sources": "srcs"}
+SQL = {
+    f"p2_{n}": f"WITH {_READ}, {', '.join(_LISTS[n])} SELECT id AS record_id, {'[up]' if n in ('organizations', 'location_sources') else '[]::int[]'} AS parent_path, pos, {', '.join(f'{_field(rel)} AS {c}' for c, rel in cols.items())} FROM {_LAST[n]}"
+    for n, (_, cols) in TABLES.items()
+}
+_NUMBERS = "list_distinct(list_transform(regexp_extract_all(v, '\\d+'), lambda d: try_cast(d AS bigint)))"
+SQL["p2_found"] = f"""WITH {_READ}, {_LISTS['titles'][0]}, {_LISTS['names'][0]}, {', '.join(_LISTS['organizations'])}, {', '.join(_LISTS['location_sources'])},
+nn AS (SELECT DISTINCT id, pos, unnest({_NUMBERS.replace('v,', _field('addr_no') + ',')}) AS no FROM names), an AS (SELECT DISTINCT id, pos, unnest({_NUMBERS.replace('v,', _field('address_spec.addr_no') + ',')}) AS no FROM addr)
+SELECT id AS staging_id, 'title' AS child, 0 AS parent_pos, pos AS child_pos FROM titles UNION ALL SELECT id, 'name', 0, pos FROM names UNION ALL SELECT id, 'address', 0, pos FROM addr UNION ALL SELECT id, 'organization', up, pos FROM orgs UNION ALL SELECT id, 'location', 0, pos FROM locs UNION ALL SELECT id, 'location_source', up, pos FROM srcs
+UNION ALL SELECT DISTINCT nn.id, 'name_address', nn.pos, an.pos FROM nn JOIN an ON nn.id = an.id AND nn.no = an.no WHERE nn.no IS NOT NULL"""

@@ -5,16 +5,5 @@ from __future__ import annotations
 from corvina.operators import nested
 from corvina.plans import reading, resolving, serving
 
-QUERIES = {
-    **serving.QUERIES,
-    **resolving.QUERIES,
-    **reading.QUERIES,
-    "p2_found": nested.p2_found,
-    "p2_titles": nested.p2_titles,
-    "p2_names": nested.p2_names,
-    "p2_addresses": nested.p2_addresses,
-    "p2_organizations": nested.p2_organizations,
-    "p2_locations": nested.p2_locations,
-    "p2_location_sources": nested.p2_location_sources,
-}
-SQL: dict[str, str] = {**serving.SQL, **resolving.SQL, **reading.SQL}
+QUERIES = {**serving.QUERIES, **resolving.QUERIES, **reading.QUERIES, **nested.QUERIES}
+SQL: dict[str, str] = {**serving.SQL, **resolving.SQL, **reading.SQL, **nested.SQL}

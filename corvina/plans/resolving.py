@@ -793,7 +793,7 @@ def e40(spark, d):
     return M.find_journal(v, "id", [("title", j.select("title", F.col("id").alias("journal_id"))), ("norm", j.select(F.col("title_normalized").alias("norm"), F.col("id").alias("journal_id")))])
 
 
-@query("E40_find_or_create", """WITH v AS (SELECT id AS rid, trim(journal_title) AS title, trim(regexp_replace(lower(journal_title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM venue_mentions WHERE trim(journal_title) <> ''), f AS (SELECT title_normalized AS norm, min(id) AS j FROM journals GROUP BY 1), a AS (SELECT v.rid, v.norm, f.j FROM v LEFT JOIN f ON f.norm = v.norm),
+@query("E40_find_or_create", """WITH v AS (SELECT DISTINCT id AS rid, trim(journal_title) AS title, trim(regexp_replace(lower(journal_title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM venue_mentions WHERE trim(journal_title) <> ''), f AS (SELECT title_normalized AS norm, min(id) AS j FROM journals GROUP BY 1), a AS (SELECT v.rid, v.norm, f.j FROM v LEFT JOIN f ON f.norm = v.norm),
 n AS (SELECT norm, row_number() OVER (ORDER BY min(rid)) + (SELECT max(id) FROM journals) AS j FROM a WHERE j IS NULL GROUP BY 1) SELECT a.rid, coalesce(a.j, n.j) AS journal_id, CASE WHEN a.j IS NOT NULL THEN 'name' ELSE 'created' END AS matched_by FROM a LEFT JOIN n ON n.norm = a.norm""")
 def e40b(spark, d):
     """Journals of the mentions by name form; those unknown are created, one for each title."""
@@ -885,3 +885,65 @@ def z8(spark, d):
 @query("Z9_repeated_person", "SELECT source_publication_id, person_id, count(*) AS n FROM source_authorships WHERE person_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2")
 def z9(spark, d):
     return PE.repeated_person(T(spark, d, "source_authorships"), "source_publication_id", "person_id")
+
+
+@query("Z1_link_by_name", """WITH s AS (SELECT a.id, a.source, p.publication_id, a.author_position AS pos, k.author_name_normalized AS name, a.person_id FROM source_authorships a JOIN source_publications p ON p.id = a.source_publication_id JOIN author_identifying_keys k ON k.id = a.identity_id WHERE p.publication_id IS NOT NULL AND a.author_position IS NOT NULL AND k.author_name_normalized IS NOT NULL)
+SELECT o.id, min(h.person_id) AS person_id FROM s o JOIN s h ON h.publication_id = o.publication_id AND h.pos = o.pos AND h.name = o.name WHERE o.person_id IS NULL AND h.person_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT h.person_id) = 1""")
+def z1(spark, d):
+    """Orphan signatures linked to the only person of the same name at the same place of the publication."""
+    s = _signatures(spark, d).where("publication_id is not null and author_position is not null and name is not null").select("id", "publication_id", "author_position", "name", "person_id")
+    at = ["publication_id", "author_position", "name"]
+    have = s.where("person_id is not null").select(*at, F.col("person_id").alias("p")).distinct()
+    j = s.where("person_id is null").select("id", *at).join(have, at).select("id", F.col("p").alias("person_id"))
+    return PE.unique_person(j, "id", "name").select("id", "person_id")
+
+
+@query("Z2_homonyms_by_place", f"""WITH x AS (SELECT DISTINCT a.person_id, l.address_id FROM source_authorships a JOIN source_authorship_addresses l ON l.source_authorship_id = a.id WHERE a.person_id IS NOT NULL), {PERSON_PAIRS_SQL}
+SELECT DISTINCT id_a, id_b FROM dp JOIN x a ON a.person_id = id_a JOIN x b ON b.person_id = id_b AND b.address_id = a.address_id""")
+def z2(spark, d):
+    """Persons with compatible names that signed from one address (laboratories are absent from the test tables)."""
+    links = T(spark, d, "source_authorship_addresses").select(F.col("source_authorship_id").alias("id"), F.col("address_id").alias("value"))
+    x = T(spark, d, "source_authorships").where("person_id is not null").select("id", "person_id").join(links, "id").select("person_id", "value").distinct()
+    return PE.rank_duplicates(e35(spark, d), {"places": x}).where("places > 0").select("id_a", "id_b")
+
+
+@query("Z3_merge_conflicts", f"""WITH {PERSON_PAIRS_SQL}, c AS (SELECT DISTINCT p.publication_id, a.author_position AS pos, a.person_id FROM source_authorships a JOIN source_publications p ON p.id = a.source_publication_id WHERE a.person_id IS NOT NULL AND p.publication_id IS NOT NULL AND a.author_position IS NOT NULL)
+SELECT DISTINCT id_a AS new_id, id_b AS old_id FROM dp JOIN c a ON a.person_id = id_a JOIN c b ON b.person_id = id_b AND a.publication_id = b.publication_id AND a.pos = b.pos""")
+def z3(spark, d):
+    """Persons with compatible names at one place of one publication: which is merged into which."""
+    c = _signatures(spark, d).where("person_id is not null and publication_id is not null and author_position is not null")
+    x = c.select("person_id", F.concat_ws("|", "publication_id", "author_position").alias("value")).distinct()
+    return PE.rank_duplicates(e35(spark, d), {"places": x}).where("places > 0").select(F.col("id_a").alias("new_id"), F.col("id_b").alias("old_id"))
+
+
+@query("Z4_idle_persons", "SELECT DISTINCT f.person_id FROM person_name_forms f WHERE f.person_id IS NOT NULL AND f.person_id NOT IN (SELECT person_id FROM source_authorships WHERE person_id IS NOT NULL)")
+def z4b(spark, d):
+    """Persons without a signature."""
+    used = T(spark, d, "source_authorships").where("person_id is not null").select("person_id").distinct()
+    return T(spark, d, "person_name_forms").where("person_id is not null").select("person_id").distinct().join(used, "person_id", "left_anti")
+
+
+@query("Z5_redirty", "SELECT s.id, coalesce(s.keys_dirty, false) OR coalesce(j.journal_type = 'proceedings', false) AS keys_dirty FROM source_publications s LEFT JOIN journals j ON j.id = s.journal_id")
+def z5(spark, d):
+    """Records of journals of one type marked for another run."""
+    j = T(spark, d, "journals").select(F.col("id").alias("journal_id"), "journal_type")
+    sp = T(spark, d, "source_publications").select("id", "journal_id", "keys_dirty").join(j, "journal_id", "left")
+    return sp.select("id", (F.coalesce("keys_dirty", F.lit(False)) | F.coalesce(F.col("journal_type") == "proceedings", F.lit(False))).alias("keys_dirty"))
+
+
+@query("Z9_name_corroboration", f"""WITH t AS (SELECT a.id, a.person_id, {TOKENS.format('k.author_name_normalized')} AS x, k.author_name_normalized AS name FROM source_authorships a JOIN source_publications p ON p.id = a.source_publication_id JOIN author_identifying_keys k ON k.id = a.identity_id WHERE a.person_id IS NOT NULL AND k.author_name_normalized IS NOT NULL),
+f AS (SELECT person_id, {TOKENS.format('name_form')} AS y FROM person_name_forms WHERE status <> 'rejected' AND person_id IS NOT NULL), ok AS (SELECT DISTINCT t.id FROM t JOIN f ON f.person_id = t.person_id WHERE {FITS.format('t.x', 'f.y')}), kn AS (SELECT DISTINCT person_id FROM f)
+SELECT t.person_id, count(*) AS signatures, count(*) FILTER (t.id NOT IN (SELECT id FROM ok)) AS doubtful FROM t JOIN kn ON kn.person_id = t.person_id GROUP BY 1""")
+def z9b(spark, d):
+    """For each person with curated names the signatures that none of them fits."""
+    t = _signatures(spark, d).where("person_id is not null and name is not null").select("id", "person_id", N.name_tokens(F.col("name")).alias("x"))
+    f = T(spark, d, "person_name_forms").where("status <> 'rejected' and person_id is not null").select("person_id", N.name_tokens(F.col("name_form")).alias("y")).distinct()
+    j = t.join(f, "person_id").groupBy("person_id", "id").agg(F.bool_or(N.compatible(F.col("x"), F.col("y"))).alias("ok"))
+    return j.groupBy("person_id").agg(F.count(F.lit(1)).alias("signatures"), F.count(F.when(~F.col("ok"), 1)).alias("doubtful"))
+
+
+@query("Z10_backfill_dois", f"""WITH c AS (SELECT id, doi, {DOI1} AS d FROM source_publications), q AS (SELECT id, doi, CASE WHEN regexp_matches(d, '^10\\.\\d{{4,9}}/\\S+$') THEN d END AS clean FROM c) SELECT id, doi AS old, clean AS new FROM q WHERE doi IS DISTINCT FROM clean""")
+def z10(spark, d):
+    """Records whose DOI a repeated normalisation would change; after it there are none."""
+    sp = T(spark, d, "source_publications").select("id", F.col("doi").alias("old"), I.clean_doi(F.col("doi")).alias("new"))
+    return sp.where(~F.col("old").eqNullSafe(F.col("new")))
