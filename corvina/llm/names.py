@@ -222,7 +222,8 @@ def person_classes(spark: SparkSession, keys: DataFrame, forms: DataFrame | None
     raw = distinct.select(F.col("name").alias("raw")) if signed is None else signed.select(F.col("raw_author_name").alias("raw"))
     mended = F.regexp_replace(F.replace("name", F.lit("a1 4"), F.lit("u")), "a (?=[a-z])", "e")
     words = distinct.select("name", F.explode(F.array_distinct(F.concat(F.split(F.trim(F.regexp_replace("name", "[^a-z0-9]+", " ")), " "), F.split(F.trim(F.regexp_replace(mended, "[^a-z0-9]+", " ")), " ")))).alias("t"))
-    info = cut(token_info(words.select("t").distinct(), given_names(raw)))
+    words = cut(words)
+    info = cut(token_info(cut(words.select("t").distinct()), cut(given_names(raw))))
     told = words.join(info, "t").groupBy("name").agg(F.collect_list(F.struct("t", "given", "near", "double")).alias("info"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +255,7 @@ def person_classes(spark: SparkSession, keys: DataFrame, forms: DataFrame | None
     met = met.join(rarity.withColumnRenamed("form", "c"), "c").groupBy("a", "b").agg(F.min("n").alias("n"))  # of the rarest form they share
     total = cores.agg(F.count(F.lit(1)).alias("total"))  # one row
     usual = cores.groupBy("first").agg(F.count(F.lit(1)).alias("u"))
-    known = lookup(cores, usual, "first")
+    known = cut(lookup(cores, usual, "first"))
     side = lambda x: known.select(F.col("core").alias(x), F.col("family").alias(f"f{x}"), F.col("family2").alias(f"g{x}"), F.col("family3").alias(f"k{x}"), F.col("first").alias(f"h{x}"), F.col("u").alias(f"u{x}"))
 
     @F.pandas_udf("int")
@@ -275,7 +276,7 @@ def person_classes(spark: SparkSession, keys: DataFrame, forms: DataFrame | None
     # Others expected to share the rewriting and the given name by chance, an edit counting as much rarer evidence.
     chance = F.col("n") * F.least("ua", "ub") / F.col("total")
     same = (F.col("edits") == 0) & (F.col("ha") == F.col("hb"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", verify("fa", "ga", "ka", "ha", "fb", "gb", "kb", "hb")).where("edits >= 0")
+    pairs = cut(met).join(side("a"), "a").join(side("b"), "b").withColumn("edits", verify("fa", "ga", "ka", "ha", "fb", "gb", "kb", "hb")).where("edits >= 0")
     initials = (F.col("ha") == F.upper("ha")) | (F.col("hb") == F.upper("hb"))
     pairs = cut(pairs.crossJoin(F.broadcast(total)).where(same | initials | (chance < 1)).select("a", "b", "ha", "hb", "edits", chance.alias("chance")))
     initial = lambda c: (F.col(c) == F.upper(c)) & (F.col(c) != "")
@@ -302,7 +303,7 @@ def person_classes(spark: SparkSession, keys: DataFrame, forms: DataFrame | None
     ids = placed.where("orcid is not null")
     of_label = ids.groupBy("label").agg(F.count_distinct("orcid").alias("n"))
     of_core = ids.groupBy("label", "core").agg(F.count_distinct("orcid").alias("cn"), F.min("orcid").alias("co"))
-    split = lookup(placed, of_label, "label").join(of_core, ["label", "core"], "left")
+    split = cut(lookup(placed, of_label, "label")).join(of_core, ["label", "core"], "left")
     part = (
         F.when(F.coalesce("n", F.lit(0)) <= 1, F.lit(""))
         .when(F.col("orcid").isNotNull(), F.col("orcid"))
