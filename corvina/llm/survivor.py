@@ -136,7 +136,7 @@ def surviving_titles(spark: SparkSession, sp: DataFrame) -> DataFrame:
     )
     p = F.least(F.greatest("posterior", F.lit(1e-6)), F.lit(1 - 1e-6))
     values = cut(values.withColumn("score", F.log(p / (1 - p)) * 0.5 + F.col("quality")))
-    lead = values.groupBy("item").agg(F.max(F.struct("score", (-F.col("trust")).alias("t"), (-F.col("sp_id")).alias("i"), "value")).alias("l")).select("item", F.col("l.value").alias("lead"), F.col("l.score").alias("lead_score"))
+    lead = cut(values.groupBy("item").agg(F.max(F.struct("score", (-F.col("trust")).alias("t"), (-F.col("sp_id")).alias("i"), "value")).alias("l")).select("item", F.col("l.value").alias("lead")))
     bag = lambda c: F.array_sort(F.split(normalize_text(F.col(c)), " "))
     a, b = normalize_text(F.col("value")), normalize_text(F.col("lead"))
     variant = (F.col("value") != F.col("lead")) & ((F.levenshtein(a, b, 4) >= 0) | (bag("value") == bag("lead")) | (F.startswith(b, a)))
@@ -147,6 +147,7 @@ def surviving_titles(spark: SparkSession, sp: DataFrame) -> DataFrame:
 
 def _carriers(claims: DataFrame, best: DataFrame) -> DataFrame:
     """The smallest record that carries the surviving value of each item."""
+    best = Cut(claims.sparkSession)(best)
     hit = lookup(claims, best.withColumnRenamed("value", "best"), "item").where("value = best").groupBy("item", "value").agg(F.min(F.struct("sp_id", "source")).alias("m"))
     return hit.select(F.col("item").alias("publication_id"), F.col("m.sp_id").alias("sp_id"), F.col("m.source").alias("source"), "value")
 
@@ -186,7 +187,8 @@ def abstract_claims(spark: SparkSession, sp: DataFrame) -> DataFrame:
 def surviving_abstracts(spark: SparkSession, sp: DataFrame) -> DataFrame:
     """(publication_id, sp_id, source, value): sound abstracts, no beginning of the longest one; the one updated last wins, then the likelier one."""
     c = abstract_claims(spark, sp)
-    longest = c.where("defect = 0").groupBy("item").agg(F.max_by("value", F.length("value")).alias("longest"))
+    cut = Cut(spark)
+    longest = cut(c.where("defect = 0").groupBy("item").agg(F.max_by("value", F.length("value")).alias("longest")))
     sound = lookup(c.where("defect = 0"), longest, "item").where((F.col("value") == F.col("longest")) | ~F.startswith(F.col("longest"), F.col("value")))
     post = judge(spark, c.select("item", "source", "h", "defect").withColumnRenamed("h", "value"), 3)
     late = F.coalesce(F.col("updated_at").cast("string"), F.lit(""))

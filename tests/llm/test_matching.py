@@ -157,3 +157,68 @@ def test_equal_titles_are_scored_like_others(spark):
     assert all(work[i] == work[i + 1] for i in range(0, n, 2))
     assert len({work[1000 + i] for i in range(4)}) == 4
     assert work[2000] == work[1000]
+
+
+@pytest.mark.parametrize(
+    ("doi", "same"),
+    [("10.1000/182", True), ("https://doi.org/10.1000%2F182?x=1", True), ("10.1000/abc", True), ("10.1000.7/x", True), ("10.0000/unknown", False), ("10.1000/", False), ("10.1000/n/a", False), ("10.", False), ("-", False), (None, False)],
+)
+def test_short_dois_link(spark, doi, same):
+    from corvina.llm.components import doi_key
+
+    assert (spark.createDataFrame([(doi,)], "d string").select(doi_key(F.col("d")).alias("k")).first()["k"] is not None) == same
+
+
+def test_long_dois_stay_apart(spark):
+    df = spark.createDataFrame([("10.5555/journal.pone.section.000111",), ("10.5555/journal.pone.section.000222",), ("10.5555journal.pone.section.OOO111",)], "d string")
+    k = [r.k for r in df.select(LI.mended_doi(F.col("d")).alias("k")).collect()]
+    assert k[0] != k[1]
+
+
+def test_transitive_posteriors(spark):
+    cols = "a bigint, b bigint, title_sim double, year_sim double, doi_sim double, journal_sim double, posterior double"
+    p = spark.createDataFrame(
+        [
+            (1, 2, 1.0, 1.0, 0.5, 0.5, 0.9), (2, 3, 1.0, 1.0, 0.5, 0.5, 0.8), (1, 3, 0.6, 1.0, 0.5, 0.5, 0.1),  # raised to both sides together
+            (5, 6, 1.0, 1.0, 0.5, 0.5, 0.9), (6, 7, 1.0, 1.0, 0.5, 0.5, 0.7), (5, 7, 0.0, 1.0, 0.5, 0.5, 0.0),  # 5 and 7 exclude each other: the weaker side falls
+            (8, 9, 0.6, 1.0, 0.5, 0.5, 0.2),
+        ],
+        cols,
+    )
+    got = {(r.a, r.b): round(r.posterior, 4) for r in LI.transitive(p).collect()}
+    assert got == {(1, 2): 0.9, (2, 3): 0.8, (1, 3): 0.72, (5, 6): 0.9, (6, 7): 0.0, (5, 7): 0.0, (8, 9): 0.2}
+
+
+def test_titles_meet_whatever_the_size(spark):
+    pair = ["measuring comparative soil moisture with the wabrousoubo instrument", "measuring comparative soil moiture with the wabrousoubo instrumeent", "results of the study", "results of the studdy"]
+    noise = [f"measuring comparative soil moisture with the {a}{b}{c} instrument" for a in ("zai", "brou", "fle", "tro") for b in ("mi", "lo", "dra", "pou") for c in ("kex", "vus", "nim")]
+    more = [f"measuring comparative soil moisture with the {a}{b}{c}fu instrument" for a in ("zai", "brou", "fle", "tro") for b in ("mi", "lo", "dra", "pou") for c in ("kex", "vus", "nim")]
+    for titles in (pair + noise, pair + noise + more):
+        keys = spark.createDataFrame(list(enumerate(titles)), "k bigint, stem string")
+        none = spark.createDataFrame([], "k bigint, doi string")
+        got = {tuple(r) for r in LI.candidates(spark, keys, none).collect()}
+        assert {(0, 1), (2, 3)} <= got
+    assert LI.candidates(spark, keys.where("false"), none).count() == 0
+
+
+def test_given_names_come_from_signatures(spark):
+    raw = [f"Ines {f}" for f in ("Zubo", "Mora", "Diaz", "Loo")] + ["Fau, Rita", "Zubo, Rita", "Mora, Rita", "LOO Rita", "Saflos Taipou", "HÃ©lÃ¨ne Mora", "Study Group", None]
+    given = {r.t for r in NA.given_names(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()}
+    assert {"ines", "rita"} <= given and not given & {"zubo", "mora", "saflos", "ha", "study"}
+    info = {r.t: r for r in NA.token_info(spark.createDataFrame([("rta",), ("inesrita",), ("xyz",), ("ines",)], "t string"), spark.createDataFrame([("ines", 4), ("rita", 4)], "t string, n bigint")).collect()}
+    assert "rita" in info["rta"].near and info["inesrita"].double and info["ines"].given and "xyz" not in info
+
+
+def test_short_families_and_first_letters(spark):
+    data = [(1, "roux marcelline", None), (2, "raux marcelline", None), (3, "xarcelline roux", None), (4, "m roux", None), (5, "marcelline", None)] + [(10 + i, f"{g} {f}", None) for i, (g, f) in enumerate((g, f) for g in ("ines", "rita", "karl") for f in ("zubofla", "moradi", "diazne", "looti"))]
+    signed = spark.createDataFrame([(f"Marcelline {f}",) for f in ("Zubofla", "Moradi", "Diazne", "Looti")], "raw_author_name string")
+    got = dict(rows(NA.person_classes(spark, spark.createDataFrame(data, "id bigint, author_name_normalized string, person_identifiers string"), None, signed)))
+    assert got[1] == got[2]
+
+
+def test_values_judged_true(spark):
+    s = "id bigint, source string, publication_id bigint, title string, abstract string, oa_status string, language string, updated_at timestamp"
+    data = [(i * 3 + k, src, i, f"Title of work {i}", None, "gold" if k < 2 else "closed", "en", None) for i in range(30) for k, src in enumerate(("hal", "wos", "scanr"))]
+    got = SU.true_values(spark, spark.createDataFrame(data, s))
+    assert got.where("field = 'title' and kept").count() == 30 and got.where("field = 'oa_status' and value = 'gold' and kept").count() == 30
+    assert SU.true_values(spark, spark.createDataFrame([], s)).count() == 0

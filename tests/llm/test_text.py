@@ -34,6 +34,28 @@ def test_tree_equals_direct_encoding(leaf, window):
         assert T.decode_ids(ids, coder) == t
 
 
+def test_most_documents_are_joined():
+    rnd = random.Random(4)
+    words = ["lorem", "ipsum", "l'été", "naïve", "42", "—", "don't", "Größe"]
+    docs = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(40, 400))) for _ in range(40)]
+    coder = T.TreeEncoder()
+    for t in docs:
+        before = coder.joins
+        assert coder.encode(t) == coder.codec.encode_ordinary(t)
+        assert coder.joins > before
+    small = T.TreeEncoder(leaf=3, window=2)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["a", "'", "s", " ", "  ", "\n", "1", "é", "日", "!", "'ll", " \t", "\x1c", "\u00a0", "Ж", "…", " b"]) for _ in range(rnd.randrange(1, 60)))
+        assert small.encode(t) == small.codec.encode_ordinary(t), repr(t)
+
+
+def test_decoding_up_the_tree(spark):
+    texts = ["hello world", "", "日本語 é" * 200, "a " * 5000]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in T.decode_corpus(T.encode_corpus(df)).collect()}
+    assert got == {**dict(enumerate(texts)), 9: ""}
+
+
 def test_corpus(spark):
     df = spark.createDataFrame([(1, "hello", "z"), (2, None, "z"), (3, "", None), (4, "a " * 60_000, "z")], "doc_id bigint, text string, ids string")
     got = {r.doc_id: r.ids for r in T.encode_corpus(df).collect()}
@@ -69,6 +91,13 @@ def test_draw(spark):
     assert M.draw(spark, docs.where("false"), M.plan(docs.where("false"), targets)).count() == 0
 
 
+def test_documents_of_no_token_keep_the_cap(spark):
+    docs = spark.createDataFrame([(i, "a", 0) for i in range(10)] + [(10, "a", 10), (11, "b", 40)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = M.draw(spark, docs, M.plan(docs, targets)).collect()
+    assert max(r.repeats for r in got) == 1 and len({r.doc_id for r in got}) == len(got)
+
+
 CLEAN = ["L’été a été très élevé à Évry.", "La niñez cambió más rápido.", "Größe und Prüfung für Gewässer", "Показано, что новая модель", "“The plasma” – rather than the dialect – explains", "Ça n’exclut pas un théâtre hétérogène."]
 
 
