@@ -140,10 +140,15 @@ def f14(spark, d):
     return s.select("id", F.explode(N.name_forms(F.col("p.last"), F.col("p.first"))).alias("form"))
 
 
+def _names(spark, d):
+    """Family and given names of the identities."""
+    n = T(spark, d, "author_identifying_keys").select("id", "author_name_normalized").where("author_name_normalized is not null")
+    return n.select("id", N.parse_name(F.col("author_name_normalized")).alias("p")).select("id", "p.last", "p.first")
+
+
 def _name_pairs(spark, d):
     """Pairs of identities that share a family name, or whose family name is the other's given name."""
-    n = T(spark, d, "author_identifying_keys").select("id", "author_name_normalized").where("author_name_normalized is not null")
-    n = n.select("id", N.parse_name(F.col("author_name_normalized")).alias("p")).select("id", "p.last", "p.first")
+    n = _names(spark, d)
     k = n.select("id", F.explode(F.array_distinct(F.array("last", "first"))).alias("k")).where("k <> ''")
     pairs = G.class_pairs(k, "k", "id").select("a", "b").distinct()
     a, b = n.toDF("a", "la", "fa"), n.toDF("b", "lb", "fb")
@@ -158,7 +163,7 @@ FITS = "(len({0}) > 0 AND len({1}) > 0 AND len(list_filter(CASE WHEN len({0}) <=
 
 @query("F15_compatible", f"WITH {PAIRS_SQL}, t AS (SELECT id_a, id_b, {TOKENS.format(chr(39) + chr(39) + ' || la || ' + chr(39) + ' ' + chr(39) + ' || fa')} AS a, {TOKENS.format('lb || ' + chr(39) + ' ' + chr(39) + ' || fb')} AS b FROM np) SELECT id_a, id_b FROM t WHERE {FITS.format('a', 'b')}")
 def f15(spark, d):
-    return _name_pairs(spark, d).where(N.compatible(N.name_tokens(F.col("la"), F.col("fa")), N.name_tokens(F.col("lb"), F.col("fb")))).select("id_a", "id_b")
+    return PE.compatible_pairs(_names(spark, d)).toDF("id_a", "id_b")
 
 
 @query("F16_one_edit", f"WITH {PAIRS_SQL} SELECT id_a, id_b FROM np WHERE damerau_levenshtein(fa, fb) <= 1")

@@ -1,4 +1,6 @@
+import itertools
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +233,26 @@ def test_delta_takes_all_links(spark, tmp_path):
     assert rows(QUERIES["E9_detection_delta"](spark, str(tmp_path))) == [(1, "unflag"), (2, "delete"), (3, "keep"), (4, "insert")]
 
 
+def _plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_compatible_pairs_meet_once(spark):
+    names = ["durand helene", "helene durand", "durand h", "h durand", "durand d", "durand", "jean paul durand", "paul jean", "jean-paul durand", "d durand", "2003 durand", "xu durand xu", "h helene", ""]
+    n = spark.createDataFrame([(i, x.rpartition(" ")[2], x.rpartition(" ")[0]) for i, x in enumerate(names)], "id bigint, last string, first string")
+    tokens = {i: set(re.findall("[a-z]+", x)) for i, x in enumerate(names)}
+    parts = {i: {x.rpartition(" ")[2], x.rpartition(" ")[0]} - {""} for i, x in enumerate(names)}
+    fit = lambda t, u: t == u or (len(t) == 1 and u.startswith(t)) or (len(u) == 1 and t.startswith(u))
+    want = []
+    for a, b in itertools.combinations(range(len(names)), 2):
+        x, y = sorted((tokens[a], tokens[b]), key=len)
+        if x and parts[a] & parts[b] and all(any(fit(t, u) for u in y) for t in x):
+            want.append((a, b))
+    got = PE.compatible_pairs(n)
+    assert rows(got) == sorted(want, key=repr) and len(want) > 10
+    assert "Aggregate" not in _plan_of(got)  # no pair is shuffled to drop repeated ones
+
+
 def test_persons(spark):
     c = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (3, None)], "sig bigint, person_id bigint")
     a = PE.unique_person(c, "sig", "orcid")
