@@ -168,7 +168,7 @@ def f15(spark, d):
 
 @query("F16_one_edit", f"WITH {PAIRS_SQL} SELECT id_a, id_b FROM np WHERE damerau_levenshtein(fa, fb) <= 1")
 def f16(spark, d):
-    return _name_pairs(spark, d).where(N.within_one_edit(F.col("fa"), F.col("fb"))).select("id_a", "id_b")
+    return PE.one_edit_pairs(_names(spark, d)).toDF("id_a", "id_b")
 
 
 JOINED = "replace(regexp_replace(trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g')), '\\d+', '', 'g'), ' ', '')"

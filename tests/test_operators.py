@@ -253,6 +253,23 @@ def test_compatible_pairs_meet_once(spark):
     assert "Aggregate" not in _plan_of(got)  # no pair is shuffled to drop repeated ones
 
 
+def test_one_edit_pairs_meet_once(spark):
+    names = ["jean durand", "jaen durand", "jan durand", "jean dupont", "durand durnad", "durand x", "x durand", "y durand", "durnad durand", "jean", "dupont", "jean", "j", "jean durand", "ab ba", "ba ab", ""]
+    n = spark.createDataFrame([(i, x.rpartition(" ")[2], x.rpartition(" ")[0]) for i, x in enumerate(names)], "id bigint, last string, first string")
+    parts = {i: (x.rpartition(" ")[2], x.rpartition(" ")[0]) for i, x in enumerate(names)}
+
+    def near(x, y):
+        cut = lambda s: {s[:i] + s[i + 1 :] for i in range(len(s))}
+        swaps = {x[:i] + x[i + 1] + x[i] + x[i + 2 :] for i in range(len(x) - 1)}
+        return x == y or y in swaps or x in cut(y) or y in cut(x) or (len(x) == len(y) and sum(a != b for a, b in zip(x, y)) == 1)
+
+    want = [(a, b) for a, b in itertools.combinations(range(len(names)), 2) if (set(parts[a]) & set(parts[b])) - {""} and near(parts[a][1], parts[b][1])]
+    got = PE.one_edit_pairs(n)
+    assert rows(got) == sorted(want, key=repr) and len(want) > 10
+    top = _plan_of(got).splitlines()[:3]
+    assert top[0].startswith("Union") and "Aggregate" not in "".join(top)  # no pair is shuffled to drop repeated ones
+
+
 def test_persons(spark):
     c = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (3, None)], "sig bigint, person_id bigint")
     a = PE.unique_person(c, "sig", "orcid")
