@@ -51,6 +51,17 @@ def element_join(left: DataFrame, larr: str, right: DataFrame, rarr: str) -> Dat
     return left.withColumn("element", F.explode(F.array_distinct(larr))).join(right.withColumn("element", F.explode(F.array_distinct(rarr))), "element")
 
 
+def element_counts(df: DataFrame, ident: str, arr: str, chosen: Column) -> DataFrame:
+    """(element, n): pairs of a row and another ``chosen`` one that share the element, counted without listing them.
+
+    Each chosen row of an element meets all rows of it but itself. Rows of one ``ident`` are one row, chosen if any is.
+    """
+    e = df.where(F.col(ident).isNotNull()).select(ident, F.explode(arr).alias("element"), F.coalesce(chosen, F.lit(False)).alias("__c")).where("element is not null")
+    e = e.groupBy(ident, "element").agg(F.max("__c").alias("__c"))
+    n = e.groupBy("element").agg(F.count(F.lit(1)).alias("all"), F.count_if("__c").alias("some"))
+    return n.select("element", (F.col("some") * (F.col("all") - 1)).alias("n")).where("n > 0")
+
+
 def map_entries(df: DataFrame, ident: str, m: Column) -> DataFrame:
     """(ident, kind, value) of a JSON or map column."""
     return df.select(ident, F.explode(m).alias("kind", "value")).where("value is not null")

@@ -237,6 +237,15 @@ def _plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_element_counts(spark):
+    data = [(1, ["FR", "DE", "FR"], True), (2, ["FR"], False), (3, ["FR", None], None), (4, ["DE"], True), (5, ["US"], True), (6, None, True), (7, [], True), (8, ["IT"], False), (9, ["IT"], False), (None, ["FR"], True), (2, ["FR"], True), (2, ["DE"], False)]
+    df = spark.createDataFrame(data, "id bigint, c array<string>, dirty boolean")
+    both = J.element_join(df.select("id", "c"), "c", df.where("dirty").select(F.col("id").alias("id2"), F.col("c").alias("c2")), "c2").where("id <> id2").select("id", "id2", "element").distinct()
+    got = J.element_counts(df, "id", "c", F.col("dirty"))
+    assert rows(got) == rows(both.groupBy("element").count()) == [("DE", 4), ("FR", 4)]
+    assert "Join" not in _plan_of(got)
+
+
 def test_compatible_pairs_meet_once(spark):
     names = ["durand helene", "helene durand", "durand h", "h durand", "durand d", "durand", "jean paul durand", "paul jean", "jean-paul durand", "d durand", "2003 durand", "xu durand xu", "h helene", ""]
     n = spark.createDataFrame([(i, x.rpartition(" ")[2], x.rpartition(" ")[0]) for i, x in enumerate(names)], "id bigint, last string, first string")
