@@ -201,6 +201,20 @@ def test_titles_meet_whatever_the_size(spark):
     assert LI.candidates(spark, keys.where("false"), none).count() == 0
 
 
+def test_titles_with_two_errors_in_a_word_meet(spark):
+    titles = [
+        "spectral plasma and corpus in the poulwage basin", "spectral plasma and corpus in the pouleuwage basin",  # both words belong to one title each
+        "l effet du chateau sur les populations de pofloduousta", "l effet du chateau sur les populatiois de poffloudousta",  # another word is mistyped too
+        "clinical welfare policy at the fatradailu site wi", "clinical welfae policy at the fatradailu site with a note on enzyme",  # cut beyond an error
+    ]
+    noise = [f"{x} {y} and corpus in the {z} basin with a note on enzyme" for x in ("spectral", "clinical", "chateau") for y in ("plasma", "welfare", "policy") for z in ("kezaimi", "lobroudra", "poufletro", "nimvuskex")]
+    noise += [f"l effet du {y} sur les populations de {z}" for y in ("chateau", "plasma") for z in ("kezaimi", "lobroudra", "poufletro")]
+    keys = spark.createDataFrame(list(enumerate(titles + noise)), "k bigint, stem string")
+    got = {tuple(r) for r in LI.candidates(spark, keys, spark.createDataFrame([], "k bigint, doi string")).collect()}
+    assert {(0, 1), (2, 3), (4, 5)} <= got
+    assert [r.f for r in spark.createDataFrame([("ab",)], "w string").select(F.explode(LI.shorter("w")).alias("f")).collect()] == ["b", "a", "ab"]
+
+
 def test_given_names_come_from_signatures(spark):
     raw = [f"Ines {f}" for f in ("Zubo", "Mora", "Diaz", "Loo")] + ["Fau, Rita", "Zubo, Rita", "Mora, Rita", "LOO Rita", "Saflos Taipou", "HÃ©lÃ¨ne Mora", "Study Group", None]
     given = {r.t for r in NA.given_names(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()}
